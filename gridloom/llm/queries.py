@@ -2,9 +2,15 @@
 
 from gridloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from gridloom.llm.mixing import OP10_SQL, op10_source_mix
+from gridloom.llm.outliers import op7_robust_outliers
+from gridloom.llm.packing import op6_best_fit_packing
+from gridloom.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_robust_outliers": op7_robust_outliers,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_source_mix": op10_source_mix,
 }
 
