@@ -47,11 +47,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Hands texts to Python workers in batches of at most so many rows, so that a worker stays small."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns only, with a row number that holds once staged; other columns can't clash."""
     kinds = {"text": "string", "lang": "string", "source": "string"}
     cols = [docs[n].cast(kinds[n]).alias(n) if n in kinds else docs[n].alias(n) for n in names]
-    return docs.select(*cols).withColumn("_row", F.monotonically_increasing_id())
+    return small_batches(docs).select(*cols).withColumn("_row", F.monotonically_increasing_id())
 
 
 def words(text: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrays import chunks
-from gridloom.llm.common import fold, pick, table
+from gridloom.llm.common import fold, pick, small_batches, table
 from gridloom.llm.labels import training_sample
 
 MAX_DOCS, MAX_CHARS, THRESHOLD = 20_000, 200_000, 0.3
@@ -143,7 +143,7 @@ def accepted(docs: DataFrame, forest: dict[str, np.ndarray] | None, threshold: f
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     plain = [f"_{i}" for i in range(len(docs.columns))]  # names of its own, whatever the columns are called
     text = docs.columns.index("text")
-    renamed = docs.toDF(*plain).withColumn("text", F.col(plain[text]).cast("string"))
+    renamed = small_batches(docs).toDF(*plain).withColumn("text", F.col(plain[text]).cast("string"))
     schema = renamed.drop("text").schema.add("score", "double")
     kept = renamed.mapInArrow(_scorer(shared, False), schema).filter(F.col("score") >= threshold)
     return kept.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])

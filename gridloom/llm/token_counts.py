@@ -27,9 +27,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pick, stage, table
+from gridloom.llm.common import pick, small_batches, stage, table
 
-HEAD, FLUSH, LIMIT = 1 << 17, 300_000, 4096
+HEAD, FLUSH, LIMIT = 1 << 17, 100_000, 4096
 SPACE = "▁"  # the mark that stands for a space in pieces
 
 
@@ -115,7 +115,7 @@ def _head_sums(head):
 
 def dictionary(docs: DataFrame, path: str) -> DataFrame:
     """pretoken, n (its frequency in all texts), pieces."""
-    found = docs.select(F.col("text").cast("string")).mapInArrow(_frequencies, "pretoken string, n long")
+    found = small_batches(docs).select(F.col("text").cast("string")).mapInArrow(_frequencies, "pretoken string, n long")
     return stage(found.groupBy("pretoken").agg(F.sum("n").alias("n")).mapInArrow(_piece_counter(path), "pretoken string, n long, pieces int"), "pieces")
 
 
