@@ -55,7 +55,8 @@ class DigestIndex:
             F.coalesce(F.max_by("_row", "doc_id"), F.max("_row")).alias("keep_row"),
             F.count("*").alias("n_rows"),
         )
-        new = groups.join(self.table().hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
+        # Staged, else the optimizer moves the anti-join below the sums, where a large group is one task.
+        new = stage(groups, "groups").join(self.table().hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
         new.repartition(self.buckets, "digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
         return self._decide(rows, batch)
