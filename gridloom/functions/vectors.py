@@ -86,8 +86,11 @@ def weighted_fusion(df: DataFrame, v: str, blocks: dict[int, tuple[int, int]], o
     if len(blocks) < 2:
         return df.withColumn(out, doubles(F.col(v)))
     weights = {r["scale"]: r["weight"] for r in scale_weights(df, v, blocks).collect()}
-    parts = [F.transform(l2_normalise(scale_block(F.col(v), blocks, s)), lambda x, s=s: x * F.lit(weights[s])) for s in sorted(blocks)]
-    joined = df.withColumn("_joined", F.concat(*parts))
+
+    def weighted(scale: int) -> Column:
+        return F.transform(l2_normalise(scale_block(F.col(v), blocks, scale)), lambda x: x * F.lit(weights[scale]))
+
+    joined = df.withColumn("_joined", F.concat(*map(weighted, sorted(blocks))))
     return joined.withColumn(out, l2_normalise(F.col("_joined"))).drop("_joined")
 
 
