@@ -183,12 +183,12 @@ def calinski_harabasz(df: DataFrame, v: str, label: str) -> DataFrame:
 def davies_bouldin(df: DataFrame, v: str, label: str) -> DataFrame:
     """One row: the mean over clusters of the largest (s_i + s_j) / d_ij; null for one cluster."""
     dims = df.select(label, F.posexplode(doubles(F.col(v)))).groupBy(label, "pos").agg(F.avg("col").alias("m"))
-    centers = dims.groupBy(F.col(label).alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("center"))
-    spread = df.join(F.broadcast(centers), F.col(label) == F.col("c")).groupBy("c").agg(F.avg(F.sqrt(_squared(doubles(F.col(v)), F.col("center")))).alias("s"), F.first("center").alias("center"))
-    other = spread.select(F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("center").alias("center2"))
-    pairs = spread.join(F.broadcast(other), F.col("c") != F.col("c2"))  # clusters by clusters
+    centers = dims.groupBy(F.col(label).alias("_c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("center"))
+    spread = df.join(F.broadcast(centers), F.col(label) == F.col("_c")).groupBy("_c").agg(F.avg(F.sqrt(_squared(doubles(F.col(v)), F.col("center")))).alias("s"), F.first("center").alias("center"))
+    other = spread.select(F.col("_c").alias("c2"), F.col("s").alias("s2"), F.col("center").alias("center2"))
+    pairs = spread.join(F.broadcast(other), F.col("_c") != F.col("c2"))  # clusters by clusters
     ratio = (F.col("s") + F.col("s2")) / F.nullif(F.sqrt(_squared(F.col("center"), F.col("center2"))), F.lit(0.0))
-    return pairs.groupBy("c").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    return pairs.groupBy("_c").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def quality(df: DataFrame, key: str, v: str, label: str) -> DataFrame:
