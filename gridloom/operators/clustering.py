@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
@@ -50,6 +50,34 @@ def lloyd(df: DataFrame, v: str, k: int, rounds: int = 1, key: str = "id", out:
     return assigned.drop("_v")
 
 
+def bisecting(df: DataFrame, v: str, k: int, seed: int = 42, scale: bool = True, out: str = "cluster") -> DataFrame:
+    """df with its cluster by splitting clusters in two until there are k: a hierarchy from the top.
+
+    Standardised vectors are moved off the origin: the library parts a cluster by stretching its
+    centre, which does nothing to a centre of zeros.
+    """
+    rows = standardise(df, v, "_z") if scale else df.withColumn("_z", doubles(F.col(v)))
+    rows = rows.withColumn("_f", array_to_vector(F.transform("_z", lambda x: x + 1) if scale else F.col("_z")))
+    return BisectingKMeans(k=k, seed=seed, featuresCol="_f", predictionCol=out).fit(rows).transform(rows).drop("_f", "_z")
+
+
+def spectral(edges: DataFrame, k: int, rounds: int = 20, start: str = "random") -> DataFrame:
+    """id, cluster of a graph's nodes (i, j, w) by power iteration; each pair counts once, with the mean of its weights."""
+    once = edges.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), "w").groupBy("src", "dst").agg(F.avg("w").alias("weight"))
+    found = PowerIterationClustering(k=k, maxIter=rounds, initMode=start, weightCol="weight").assignClusters(once)
+    return found.select("id", F.col("cluster").cast("int").alias("cluster"))
+
+
+def compare_labelings(df: DataFrame, key: str, v: str, old: str, new: str) -> DataFrame:
+    """One row: ari and nmi of two labelings of the same points, and the new one's gain in each quality figure."""
+    from gridloom.operators.agreement import agreement
+
+    figures = ("silhouette", "calinski_harabasz", "davies_bouldin")
+    a, b = (quality(df, key, v, c).select(*[F.col(f).alias(f"{c}_{f}") for f in figures]) for c in (old, new))
+    both = agreement(df, old, new).select("ari", "nmi").crossJoin(a).crossJoin(b)  # one row each
+    return both.select("ari", "nmi", *[(F.col(f"{new}_{f}") - F.col(f"{old}_{f}")).alias(f"{f}_gain") for f in figures])
+
+
 def _numpy_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centers = x[[rng.integers(len(x))]]

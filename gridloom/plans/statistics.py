@@ -264,6 +264,23 @@ def kmeans_per_sample(spark, sf):
     return C.kmeans_per_sample(points(spark, sf), "v", 6)
 
 
+@query()
+def bisected_clusters(spark, sf):
+    return C.bisecting(points(spark, sf), "v", 6).select("id", "cluster")
+
+
+@query()
+def spectral_clusters(spark, sf):
+    """Power iteration on the nearest-neighbour graph."""
+    return C.spectral(knn_edges(points(spark, sf), 8), 5)
+
+
+@query()
+def labelings_compared(spark, sf):
+    p = points(spark, sf).withColumn("xy", F.array("x", "y"))
+    return C.compare_labelings(C.lloyd(p, "xy", 5, rounds=2), "id", "xy", "label", "cluster")
+
+
 @query()
 def chosen_k(spark, sf):
     best, scores = C.choose_k(points(spark, sf).withColumn("xy", F.array("x", "y")), "xy", 5)

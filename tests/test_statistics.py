@@ -136,6 +136,19 @@ def test_kmeans_finds_blobs_and_their_number(spark):
         C.choose_k(df, "v", 4, "other")
 
 
+def test_other_clusterings_and_their_comparison(spark):
+    df = blobs(spark)
+    cut = C.bisecting(df, "v", 3)
+    assert agreement(cut, "truth", "cluster").first()["ari"] > 0.9
+    near = spark.createDataFrame([(b + i, b + j, 1.0) for b in (0, 100) for i in range(8) for j in range(8) if i < j] + [(0, 100, 0.01)], "i bigint, j bigint, w double")
+    sides = {r["id"] // 100: set() for r in C.spectral(near, 2).collect()}
+    for r in C.spectral(near, 2).collect():
+        sides[r["id"] // 100].add(r["cluster"])
+    assert all(len(v) == 1 for v in sides.values()) and sides[0] != sides[1]
+    gain = C.compare_labelings(cut.withColumn("odd", (F.col("id") % 2).cast("int")), "id", "v", "odd", "cluster").first()
+    assert gain["silhouette_gain"] > 0 and gain["davies_bouldin_gain"] < 0
+
+
 def test_consensus():
     import pandas as pd
 
