@@ -40,7 +40,7 @@ def pretokens(text: str) -> list[str]:
     if SPACE in text:
         text = text.replace(SPACE, " ")
     flat = text.replace("\n", " \n")
-    if "  " not in flat:
+    if "  " not in flat and text[0] != " ":  # the model puts a space before the text
         return flat.split(" ")
     return [x[1:] if x[0] == " " else x for x in re.findall(r" +[^ \n]*|\n[^ \n]*", " " + text)]
 
