@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        named = f"file://{tempfile.mkdtemp(prefix='stages-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+        if local:
+            own = tempfile.mkdtemp(prefix="stages-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            named = f"file://{own}"
+        else:
+            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -38,11 +45,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_staged: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes what stage() has written in this process; results that still read it must be written before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _staged:
+        path = hadoop(_staged.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: it cuts lineage, outlives executors
     and gives values such as monotonically_increasing_id() once and for all."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,6 +82,12 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return small_batches(docs).select(*cols).withColumn("_row", F.monotonically_increasing_id())
 
 
+def masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """docs under column names of its own, so that no added name can clash; those names; and what gives the old ones back."""
+    own = {c: f"c{i}_of_docs" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), own, [F.col(v).alias(k) for k, v in own.items()]
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, pick, stage, table, words
+from gridloom.llm.common import WORD, masked, pick, stage, table, words
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_EPOCHS = 1.5, 2
@@ -128,12 +128,13 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MA
     parts = sized.join(parts, "_row").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_of"), F.col("epoch").alias("_epoch"), F.col("first").alias("_first"), F.col("n_words").alias("_n"))
     parts = parts.groupBy("_id", "_source", "_of", "_epoch").agg(F.max_by("_first", "_n").alias("_first"), F.max("_n").alias("_n"))
-    size = F.coalesce(F.size(words(docs["text"].cast("string"))), F.lit(0)).cast("long")
-    marked = docs.withColumn("_size", size)
-    same = marked["doc_id"].eqNullSafe(parts["_id"]) & marked["source"].cast("string").eqNullSafe(parts["_source"]) & (marked["_size"] == parts["_of"])
-    part = F.array_join(F.slice(words(F.col("text")), (F.col("_first") + 1).cast("int"), F.col("_n").cast("int")), " ")
-    text = F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(part)
-    return marked.join(parts, same).select(*[text.alias(c) if c == "text" else marked[c] for c in docs.columns])
+    own, at, back = masked(docs)
+    text = F.col(at["text"]).cast("string")
+    marked = own.withColumn("_size", F.coalesce(F.size(words(text)), F.lit(0)).cast("long"))
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & F.col(at["source"]).cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_of"))
+    part = F.array_join(F.slice(words(text), (F.col("_first") + 1).cast("int"), F.col("_n").cast("int")), " ")
+    cut = F.when(F.col("_n") == F.col("_size"), text).otherwise(part)
+    return marked.join(parts, same).withColumn(at["text"], cut).select(*back)
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrays import ascii_lower, chunks, hash_words, mix, rolling
-from gridloom.llm.common import pick, small, stage, table
+from gridloom.llm.common import masked, pick, small, stage, table
 from gridloom.llm.components import connected_components
 
 WIDTH, SIMILARITY = 5, 85  # words in a shingle; link from this percentage on
@@ -282,9 +282,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, one document of each component, with all columns."""
     found = components(docs)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
-    marked = docs.withColumn("_hash_of_text", _text_hash(docs["text"].cast("string")))
-    same = marked["doc_id"].eqNullSafe(F.col("_gone_id")) & (marked["_hash_of_text"] == F.col("_gone_hash"))
-    return marked.join(small(stage(gone, "gone"), 200_000), same, "left_anti").select(*docs.columns)
+    own, at, back = masked(docs)
+    marked = own.withColumn("_hash", _text_hash(F.col(at["text"]).cast("string")))
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash"))
+    return marked.join(small(stage(gone, "gone"), 200_000), same, "left_anti").select(*back)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

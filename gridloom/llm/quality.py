@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrays import chunks
-from gridloom.llm.common import fold, pick, small_batches, table
+from gridloom.llm.common import fold, masked, pick, small_batches, table
 from gridloom.llm.labels import training_sample
 
 MAX_DOCS, MAX_CHARS, THRESHOLD = 20_000, 200_000, 0.3
@@ -120,12 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return boost(x, rows.column("label").to_numpy().astype(float))
 
 
-def _scorer(model, keep_text: bool):
+def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = model.value
         for part, texts in chunks(batches):
             p = np.ones(len(texts)) if forest is None else traverse(forest, statistics(texts))
-            names = [n for n in part.schema.names if keep_text or n != "text"]
+            names = [n for n in part.schema.names if n != "text"]
             yield pa.record_batch([*(part.column(n) for n in names), pa.array(p)], [*names, "score"])
 
     return score
@@ -135,18 +135,16 @@ def quality(docs: DataFrame, forest: dict[str, np.ndarray] | None) -> DataFrame:
     """doc_id, score per row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pick(docs, "doc_id", "text").select("doc_id", "text").mapInArrow(_scorer(shared, False), f"doc_id {kind}, score double")
+    return pick(docs, "doc_id", "text").select("doc_id", "text").mapInArrow(_scorer(shared), f"doc_id {kind}, score double")
 
 
 def accepted(docs: DataFrame, forest: dict[str, np.ndarray] | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is at least the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-    plain = [f"_{i}" for i in range(len(docs.columns))]  # names of its own, whatever the columns are called
-    text = docs.columns.index("text")
-    renamed = small_batches(docs).toDF(*plain).withColumn("text", F.col(plain[text]).cast("string"))
-    schema = renamed.drop("text").schema.add("score", "double")
-    kept = renamed.mapInArrow(_scorer(shared, False), schema).filter(F.col("score") >= threshold)
-    return kept.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
+    own, at, back = masked(small_batches(docs))
+    given = own.withColumn("text", F.col(at["text"]).cast("string"))
+    schema = given.drop("text").schema.add("score", "double")
+    return given.mapInArrow(_scorer(shared), schema).filter(F.col("score") >= threshold).select(*back)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
