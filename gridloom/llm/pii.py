@@ -30,7 +30,7 @@ from gridloom.llm.common import pick, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("strict", "shape", "ending", "foreign", "cue", "borders", "variety")
-THRESHOLD, CONTEXT, ROUNDS = 0.9, 40, 60
+THRESHOLD, CONTEXT, ROUNDS = 0.8, 40, 60
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -150,19 +150,23 @@ def reliabilities(patterns: np.ndarray, times: np.ndarray, rounds: int = ROUNDS)
 
     patterns: kind, then a vote per labeler. A labeler's chances of each vote are estimated for true
     and for false spans, with the prior that it is right more often than not; the share of true
-    spans per kind.
+    spans per kind, apart for strict and for loose ones. A "no" of the gazetteer of other numbers has the strongest prior: it is rare, and
+    seldom wrong.
     """
-    kind, v = patterns[:, 0], patterns[:, 1:] + 1
+    kind, v = patterns[:, 0] * 2 + (patterns[:, 1] > 0), patterns[:, 1:] + 1
     p = np.clip((patterns[:, 1:].sum(1) + 2) / 4, 0.05, 0.95)
-    prior_true, prior_false = np.array([1.0, 4.0, 8.0]), np.array([8.0, 4.0, 1.0])
+    prior_true, prior_false = np.tile([1.0, 4.0, 8.0], (v.shape[1], 1)), np.tile([8.0, 4.0, 1.0], (v.shape[1], 1))
+    if v.shape[1] == len(LABELERS):
+        rare = LABELERS.index("foreign")
+        prior_true[rare], prior_false[rare] = (0.1, 50, 10), (50, 10, 1)
     for _ in range(rounds):
         score = np.zeros(len(p))
-        for k in range(len(KINDS)):
+        for k in np.unique(kind):
             mine = kind == k
-            score[mine] = np.log((times[mine] @ p[mine] + 1) / (times[mine] @ (1 - p[mine]) + 1)) if mine.any() else 0
+            score[mine] = np.log((times[mine] @ p[mine] + 1) / (times[mine] @ (1 - p[mine]) + 1))
         for j in range(v.shape[1]):
-            yes = np.bincount(v[:, j], times * p, 3) + prior_true
-            no = np.bincount(v[:, j], times * (1 - p), 3) + prior_false
+            yes = np.bincount(v[:, j], times * p, 3) + prior_true[j]
+            no = np.bincount(v[:, j], times * (1 - p), 3) + prior_false[j]
             score += np.log((yes / yes.sum()) / (no / no.sum()))[v[:, j]]
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return p
@@ -176,11 +180,11 @@ def _design(patterns: np.ndarray) -> np.ndarray:
     return np.stack(cols, 1).astype(float)
 
 
-def classifier(patterns: np.ndarray, times: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def classifier(patterns: np.ndarray, times: np.ndarray, soft: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
     """Weights of a logistic regression on soft labels, by Newton steps."""
     x = _design(patterns)
     w = np.zeros(x.shape[1])
-    weight = np.minimum(times, 1000.0)  # else a few frequent patterns are all that counts
+    weight = 1 + np.log(times)  # else a few frequent patterns are all that counts
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
