@@ -119,11 +119,24 @@ def dictionary(docs: DataFrame, path: str) -> DataFrame:
     return stage(found.groupBy("pretoken").agg(F.sum("n").alias("n")).mapInArrow(_piece_counter(path), "pretoken string, n long, pieces int"), "pieces")
 
 
+def _least_frequency(words: DataFrame, most: int) -> int:
+    """The frequency that at most `most` pre-tokens reach, from a histogram in sixteenths of octaves."""
+    octave = F.floor(F.log2("n") * 16)
+    bins = words.groupBy(octave.alias("bin")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()
+    total, least = 0, 1 << 62
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
+
+
 def token_counts(docs: DataFrame, path: str, head_size: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens per row of docs."""
     spark = docs.sparkSession
     words = dictionary(docs, path)
-    top = words.orderBy(F.desc("n"), "pretoken").limit(head_size).select("pretoken", "pieces").toArrow()
+    top = words.filter(F.col("n") >= _least_frequency(words, head_size)).select("pretoken", "pieces").toArrow()
     head = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     rows = pick(docs, "doc_id", "text").select("_row", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
