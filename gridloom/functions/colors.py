@@ -52,6 +52,18 @@ def rgb_columns(code: Column) -> list[Column]:
     return [F.when(ok, F.conv(F.substring(code, i, 2), 16, 10).cast("int")) for i in (2, 4, 6)]
 
 
+def hsl_columns(h: Column, s: Column, lightness: Column) -> list[Column]:
+    """Channels, truncated to 0 .. 255, of hue, saturation and lightness in 0 .. 1."""
+    reach = s * F.least(lightness, F.lit(1.0) - lightness)
+
+    def channel(offset: int) -> Column:
+        k = (F.lit(float(offset)) + h * 12) % 12
+        c = lightness - reach * F.greatest(F.lit(-1.0), F.least(k - 3, F.least(F.lit(9.0) - k, F.lit(1.0))))
+        return F.floor(c * 255 + F.lit(1e-9)).cast("int")
+
+    return [channel(0), channel(8), channel(4)]
+
+
 def luminance(rgb: RGB) -> float:
     lin = [c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in (x / 255 for x in rgb)]
     return sum(w * c for w, c in zip((0.2126, 0.7152, 0.0722), lin, strict=True))

@@ -88,6 +88,16 @@ def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFra
     return out.select(*(by or []), "count", "mean", "std", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
 
 
+def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
+    """bin, n, low, high: equal bins from the least to the largest value, the last one closed; empty bins are left out."""
+    c = F.col(column)
+    ends = F.broadcast(df.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi")))
+    width = F.col("_hi") - F.col("_lo")
+    at = F.least(F.lit(bins - 1), F.floor((c - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * bins))
+    out = df.filter(c.isNotNull()).crossJoin(ends).groupBy(at.cast("bigint").alias("bin"), "_lo", "_hi").agg(F.count("*").alias("n"))  # ends is one row
+    return out.select("bin", "n", (F.col("_lo") + width * F.col("bin") / bins).alias("low"), (F.col("_lo") + width * (F.col("bin") + 1) / bins).alias("high"))
+
+
 def is_border(x: Column, y: Column, width: float, height: float, threshold: float) -> Column:
     return (x <= threshold) | (x >= width - threshold) | (y <= threshold) | (y >= height - threshold)
 

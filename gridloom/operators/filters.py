@@ -68,6 +68,17 @@ def passed(df: DataFrame, th: Thresholds) -> DataFrame:
     return df.withColumn("passed", F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)))
 
 
+def excluded_counts(df: DataFrame, th: Thresholds) -> DataFrame:
+    """metric, n_outside, n_missing: how many rows each range excludes by itself, and how many lack the metric."""
+    names = {"area": th.pixels, "circularity": th.circularity, "solidity": th.solidity, "eccentricity": th.eccentricity, "aspect_ratio": th.aspect_ratio, "hole_fraction": th.hole_fraction}
+    counts = []
+    for name, r in names.items():
+        test = within(F.col(name), *r)
+        out = F.count(F.when(~test, 1)) if test is not None else F.lit(0)
+        counts.append(F.struct(F.lit(name).alias("metric"), out.cast("bigint").alias("n_outside"), F.count(F.when(F.col(name).isNull(), 1)).alias("n_missing")))
+    return df.agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 def in_samples(df: DataFrame, samples: list[str], column: str = "sample", fail_empty: bool = False) -> DataFrame:
     out = df.filter(F.col(column).isin(samples))
     if fail_empty and out.isEmpty():

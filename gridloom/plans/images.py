@@ -165,6 +165,26 @@ def hex_parse(spark, sf):
     return table(spark, sf, "part").select("p_partkey", *[c.alias(n) for n, c in zip("rgb", K.rgb_columns(code), strict=True)])
 
 
+def _hsl(offset: int) -> str:
+    k = f"(({offset} + h * 12) % 12)"
+    return f"CAST(floor((0.4e0 - 0.8e0 * least(0.4e0, 1 - 0.4e0) * greatest(-1, least({k} - 3, least(9 - {k}, 1)))) * 255 + 1e-9) AS INTEGER)"
+
+
+@query(f"WITH c AS (SELECT p_partkey, CAST(p_partkey % 97 AS DOUBLE) / 97 AS h FROM part) SELECT p_partkey, {_hsl(0)} AS r, {_hsl(8)} AS g, {_hsl(4)} AS b FROM c")
+def hsl_to_rgb(spark, sf):
+    h = (F.col("p_partkey") % 97).cast("double") / 97
+    r, g, b = K.hsl_columns(h, F.lit(0.8), F.lit(0.4))
+    return table(spark, sf, "part").select("p_partkey", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@query(f"WITH {PIX} SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, v AS r, CASE WHEN x % 2 = 0 THEN v ELSE y END AS g, CASE WHEN x % 2 = 0 THEN v ELSE x END AS b FROM pix")
+def rgb_coerced(spark, sf):
+    """Gray pixels three times, and the first three of four channels."""
+    c = F.when(F.col("x") % 2 == 0, F.array("v")).otherwise(F.array("v", F.col("y").cast("bigint"), F.col("x").cast("bigint"), F.lit(0).cast("bigint")))
+    p = pixels(spark, sf).select("y", "x", I.to_rgb(c).alias("c"))
+    return p.select("y", "x", *[F.col("c")[i].alias(n) for i, n in enumerate("rgb")])
+
+
 @query()
 def palette(spark, sf):
     return K.palette_table(spark, K.palette(30))

@@ -10,6 +10,7 @@ from gridloom.operators import aggregates as A
 from gridloom.operators import filters as L
 from gridloom.operators import joins as J
 from gridloom.operators.agreement import agreement
+from gridloom.operators.projections import as_spots, encode_labels, flip_y, zone
 from gridloom.plans.base import DIMS, DIST, METRICS, PTS, SPOTS, metrics, nuclei, points, query, r6, spots, table
 from gridloom.session import with_ids
 from gridloom.sources.readers import patch_sizes
@@ -45,25 +46,12 @@ def border_touch(spark, sf):
 
 @query("SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS code FROM orders")
 def label_encode(spark, sf):
-    o = table(spark, sf, "orders")
-    codes = o.select("o_orderpriority").distinct().withColumn("code", (F.row_number().over(Window.orderBy("o_orderpriority")) - 1).cast("bigint"))  # a row per label
-    return o.join(F.broadcast(codes), "o_orderpriority").select("o_orderkey", "code")
+    return encode_labels(table(spark, sf, "orders"), "o_orderpriority").select("o_orderkey", "code")
 
 
-# Cell type to tissue zone.
-ZONES = {
-    "PT-S1/S2": "cortex", "DCT": "cortex", "CNT": "cortex", "glomeruli": "cortex",
-    "PT-S3": "outer_medulla", "TAL": "medulla", "collecting duct": "medulla", "interstitial cells": "interstitial",
-    "FR-PT": "injury", "Injured tubule": "injury", "undetermined": "other", "gaps": "other",
-}
 TYPES = ("PT-S1/S2", "DCT", "CNT", "glomeruli", "PT-S3", "TAL", "collecting duct", "interstitial cells", "FR-PT", "not listed")
 
 
-def zone(cell_type):
-    """The zone of a cell type; null for one that is not listed."""
-    return F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])[cell_type]
-
-
 @query(f"""WITH {PTS} SELECT id, CASE WHEN label < 4 THEN 'cortex' WHEN label = 4 THEN 'outer_medulla' WHEN label IN (5, 6) THEN 'medulla' WHEN label = 7 THEN 'interstitial' WHEN label = 8 THEN 'injury' END AS zone FROM pts""")
 def zone_map(spark, sf):
     kind = F.get(F.array(*[F.lit(t) for t in TYPES]), F.col("label"))
@@ -72,14 +60,12 @@ def zone_map(spark, sf):
 
 @query(f"WITH {PTS} SELECT id, round(max(y) OVER (PARTITION BY sample) - y, 6) + 0 AS y FROM pts")
 def y_flip(spark, sf):
-    top = F.max("y").over(Window.partitionBy("sample"))
-    return points(spark, sf).select("id", r6(top - F.col("y")).alias("y"))
+    return flip_y(points(spark, sf)).select("id", r6("y").alias("y"))
 
 
 @query(f"WITH {PTS} SELECT id AS spot_id, round(x, 6) + 0 AS spot_x, round(y, 6) + 0 AS spot_y, sample, 'IRI' AS condition FROM pts")
 def spot_schema(spark, sf):
-    p = points(spark, sf).withColumnsRenamed({"id": "spot_id", "x": "spot_x", "y": "spot_y"})
-    return p.select("spot_id", r6("spot_x").alias("spot_x"), r6("spot_y").alias("spot_y"), "sample", F.lit("IRI").alias("condition"))
+    return as_spots(points(spark, sf)).select("spot_id", r6("spot_x").alias("spot_x"), r6("spot_y").alias("spot_y"), "sample", "condition")
 
 
 @query(f"""WITH {DIMS} SELECT id, round(sum(CASE WHEN pos < 16 THEN val ELSE 0 END), 6) + 0 AS s16, round(sum(CASE WHEN pos >= 32 THEN val ELSE 0 END), 6) + 0 AS s64, CAST(48 AS INTEGER) AS width FROM dims GROUP BY id""")
@@ -270,6 +256,21 @@ def success_by_distance(spark, sf):
     return A.success_by_distance(assigned(spark, sf), (20, 40, 60, 80)).withColumn("share", r6("share"))
 
 
+@query(f"""WITH {ASSIGNED}, r AS (SELECT min(dist) AS lo, max(dist) AS hi FROM assigned), b AS (SELECT least(49, CAST(floor((dist - lo) / nullif(hi - lo, 0) * 50) AS BIGINT)) AS bin FROM assigned, r) SELECT bin, count(*) AS n FROM b GROUP BY bin""")
+def distance_histogram(spark, sf):
+    return A.histogram(assigned(spark, sf), "dist", 50).select("bin", "n")
+
+
+@query(f"""WITH {METRICS} SELECT 'area' AS metric, CAST(count(CASE WHEN area NOT BETWEEN 5 AND 45 THEN 1 END) AS BIGINT) AS n_outside, CAST(count(CASE WHEN area IS NULL THEN 1 END) AS BIGINT) AS n_missing FROM d UNION ALL
+SELECT 'circularity', count(CASE WHEN circularity NOT BETWEEN 0.2e0 AND 1 THEN 1 END), count(CASE WHEN circularity IS NULL THEN 1 END) FROM d UNION ALL
+SELECT 'solidity', count(CASE WHEN solidity NOT BETWEEN 0.93e0 AND 1 THEN 1 END), count(CASE WHEN solidity IS NULL THEN 1 END) FROM d UNION ALL
+SELECT 'eccentricity', count(CASE WHEN eccentricity NOT BETWEEN 0 AND 0.9e0 THEN 1 END), count(CASE WHEN eccentricity IS NULL THEN 1 END) FROM d UNION ALL
+SELECT 'aspect_ratio', count(CASE WHEN aspect_ratio NOT BETWEEN 0 AND 3 THEN 1 END), count(CASE WHEN aspect_ratio IS NULL THEN 1 END) FROM d UNION ALL
+SELECT 'hole_fraction', count(CASE WHEN hole_fraction NOT BETWEEN 0 AND 0.07e0 THEN 1 END), count(CASE WHEN hole_fraction IS NULL THEN 1 END) FROM d""")
+def excluded_counts(spark, sf):
+    return L.excluded_counts(L.derived(metrics(spark, sf)), RANGES)
+
+
 @query("""WITH n(configuration) AS (SELECT * FROM (VALUES ('run_16_32_64px'), ('run_16_32px'), ('run_32_64px'), ('run_16px'), ('run_32px'), ('run_64px'), ('plain')) t)
 SELECT configuration, CASE WHEN configuration LIKE '%16_32_64px' THEN 37 WHEN configuration LIKE '%16_32px' THEN 24 WHEN configuration LIKE '%32_64px' THEN 48 WHEN configuration LIKE '%_16px' THEN 16 WHEN configuration LIKE '%_64px' THEN 64 ELSE 32 END AS primary_size,
 CAST(CASE WHEN configuration LIKE '%16_32_64px' THEN 3 WHEN configuration LIKE '%16_32px' OR configuration LIKE '%32_64px' THEN 2 ELSE 1 END AS INTEGER) AS n_sizes FROM n""")

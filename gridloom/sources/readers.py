@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import detect_scales
 from gridloom.operators.filters import in_samples, match_samples
+from gridloom.operators.joins import nearest, nearest_or_fail
 from gridloom.session import require, same_length
 
 
@@ -106,6 +107,29 @@ def features(spark: SparkSession, parquet: str, fallback_csv: str) -> DataFrame:
         return csv(spark, fallback_csv)
 
 
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """nucleus_id (the row), v of an .npy matrix."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                a = np.load(io.BytesIO(content), allow_pickle=False).astype("float32")
+                for i in range(0, len(a), 10_000):
+                    yield pd.DataFrame({"nucleus_id": np.arange(i, min(i + 10_000, len(a))), "v": list(a[i : i + 10_000])})
+
+    return _arrays(spark, path).mapInPandas(decode, "nucleus_id bigint, v array<float>")
+
+
+def aligned(points: DataFrame, spots: DataFrame, samples: list[str], max_distance: float = 50.0) -> DataFrame:
+    """Each point of the samples with its nearest spot of the same sample; an error if none is near enough."""
+    return nearest_or_fail(in_samples(points, samples), in_samples(spots, samples), max_distance, ["sample"])
+
+
+def matched(points: DataFrame, spots: DataFrame, samples: list[str], max_distance: float = 100.0) -> DataFrame:
+    """Each spot of the samples with its nearest point nearer than the distance."""
+    return nearest(in_samples(spots, samples), in_samples(points, samples), max_distance, ["sample"], strict=True)
+
+
 def features_of_scales(df: DataFrame, scales: list[int], prefix: str = "vit") -> DataFrame:
     """Only the columns of these scales, in file order, as FLOAT; an error if there is none. The scan reads no others."""
     ranges = detect_scales(df.columns, prefix)

@@ -130,6 +130,7 @@ def test_npy_sources(spark, tmp_path):
     assert readers.binary_mask(spark, path).filter("v").count() == 2
     assert readers.image_size(spark, path) == (2, 2) and readers.image_size(spark, f"file://{tmp_path}/none.npy") == (1000, 1000)
     assert readers.raster(spark, path, (0, 1, 0, 2)).count() == 2
+    assert {r["nucleus_id"]: list(r["v"]) for r in readers.vectors(spark, save("v.npy", np.eye(3))).collect()}[2] == [0, 0, 1]
     with pytest.raises(Exception, match="label map"):
         readers.label_map(spark, save("float.npy", np.zeros((2, 2)))).count()
 
@@ -181,6 +182,24 @@ def test_color_config(tmp_path):
         K.ColorConfig(background="white")
 
 
+def test_hsl_column(spark):
+    import colorsys
+
+    rows = [(h / 12, s / 4, v / 4) for h in range(12) for s in range(5) for v in range(5)]
+    df = spark.createDataFrame(rows, "h double, s double, l double")
+    got = [tuple(r) for r in df.select(*K.hsl_columns(*map(F.col, "hsl"))).collect()]
+    assert all(max(abs(a - int(c * 255 + 1e-9)) for a, c in zip(g, colorsys.hls_to_rgb(h, v, s), strict=True)) == 0 for g, (h, s, v) in zip(got, rows, strict=True))
+
+
+def test_aligned_and_matched(spark):
+    p = spark.createDataFrame([(0, 0.0, 0.0, "a"), (1, 0.0, 9.0, "b")], "id bigint, x double, y double, sample string")
+    s = spark.createDataFrame([(5, 0.0, 3.0, "a"), (6, 0.0, 500.0, "a")], "id bigint, x double, y double, sample string")
+    assert [(r["l_id"], r["r_id"]) for r in readers.aligned(p, s, ["a"]).collect()] == [(0, 5)]
+    assert [(r["l_id"], r["r_id"]) for r in readers.matched(p, s, ["a"]).collect()] == [(5, 0)]
+    with pytest.raises(ValueError):
+        readers.aligned(p, s, ["b"])
+
+
 def test_luminance_column(spark):
     r = spark.createDataFrame([(255, 255, 255), (255, 0, 0)], "r int, g int, b int").select(K.luminance_column(*map(F.col, "rgb")).alias("l")).collect()
     assert r[0]["l"] == pytest.approx(1) and r[1]["l"] == pytest.approx(K.luminance((255, 0, 0)))
