@@ -20,7 +20,8 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalise(v: Column) -> Column:
-    return F.transform(doubles(v), lambda x: x / (norm(v) + F.lit(EPSILON)))
+    # The norm is bound once; inside the lambda it would be computed anew for each element.
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(doubles(v), lambda x: x / (n + F.lit(EPSILON)))), F.lit(0))
 
 
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
