@@ -14,17 +14,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of edges(u, v); no order of u and v is asked for.
 
     Each round points a node's larger neighbours, then its smaller ones, to the smallest, until no
-    edge changes; a round is two aggregates and two joins, written to the shared folder. Nothing but
-    a count and a checksum comes to the driver.
+    edge changes; a round is two aggregates and two joins, written to the shared folder. The sums are
+    written before they are joined, so that adaptive execution can split a node with many edges.
+    Nothing but a count and a checksum comes to the driver.
     """
     now = stage(_pointed(edges.select("u", "v")), "edges")
     seen = None
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = _pointed(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(_pointed(large), "large")
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stage(_pointed(small), "edges")
