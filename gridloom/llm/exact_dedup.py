@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import new_path, pick, stage, table
+from gridloom.llm.common import masked, new_path, pick, small, stage, table
 
 #: A digest with this share of a batch is joined by broadcast, so at most 10,000 digests are.
 HOT_SHARE, HOT_LEAST = 10_000, 100
@@ -80,11 +80,19 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns; extra columns pass through."""
     spark = docs.sparkSession
     index = index or DigestIndex(spark, new_path(spark, "digest-index"), docs.schema["doc_id"].dataType, _buckets(spark))
-    keep = index.add(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    marked = docs.withColumn("_digest", digest(docs["text"].cast("string")))
-    same = marked["doc_id"].eqNullSafe(keep["_keep_id"]) & (marked["_digest"] == keep["_keep_digest"])
-    one = marked.join(keep.hint("merge"), same, "left_semi").dropDuplicates(["_digest"])
-    return one.select(*docs.columns)
+    keys = index.add(docs).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keys = stage(keys.select(F.col("doc_id").alias("_key_id"), F.col("digest").alias("_key_digest"), "kept", "n"), "keys")
+    own, at, back = masked(docs)
+    marked = own.withColumn("_digest", digest(F.col(at["text"]).cast("string")))
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("_key_id")) & (F.col("_digest") == F.col("_key_digest"))
+    # What goes is less than what stays: the texts themselves move only if it is too much to broadcast.
+    left = marked.join(small(keys.filter(~F.col("kept")), 200_000), same, "left_anti")
+    twice = keys.filter("kept AND n > 1")
+    if twice.isEmpty():
+        return left.select(*back)
+    twice = small(twice, 200_000)
+    one = marked.join(twice, same, "left_semi").dropDuplicates([at["doc_id"], "_digest"])
+    return left.join(twice, same, "left_anti").unionByName(one).select(*back)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
