@@ -117,13 +117,6 @@ def border_quality(points: DataFrame, label: str, width: float, height: float, t
         some(F.col("high_clusters")).alias("high_clusters"), some(high).alias("high_fraction"), some(F.col("mean_concentration") * 0.6 + high * 0.4).alias("quality"))
 
 
-def pair_distances(points: DataFrame, label: str) -> DataFrame:
-    """label, mean_distance of the pairs within each cluster. A pair is a row here: for clusters of a size to match."""
-    a = points.select(F.col(label), F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = points.select(F.col(label), F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return a.join(b, label).filter("i < j").groupBy(label).agg(F.avg(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).alias("mean_distance"))
-
-
 def size_balance(points: DataFrame, label: str) -> DataFrame:
     """One row: k, least and most, their ratio, and the coefficient of variation of cluster sizes."""
     sizes = points.groupBy(label).agg(F.count("*").cast("double").alias("n"))

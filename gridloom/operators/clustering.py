@@ -155,9 +155,12 @@ def _distance_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for r in batch.to_pylist():
             x, y = (np.frombuffer(d, "<f8").reshape(len(i), -1) for d, i in ((r["data"], r["ids"]), (r["t_data"], r["t_labels"])))
             labels, code = np.unique(np.array(r["t_labels"]), return_inverse=True)
-            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
-            if r["block"] == r["t_block"]:
-                np.fill_diagonal(d, 0.0)
+            if x.shape[1] <= 16:  # by differences, exact where points are close together and far from the origin
+                d = np.sqrt(sum(np.subtract.outer(x[:, k], y[:, k]) ** 2 for k in range(x.shape[1])))
+            else:
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
+                if r["block"] == r["t_block"]:
+                    np.fill_diagonal(d, 0.0)
             sums = np.stack([d[:, code == c].sum(1) for c in range(len(labels))], 1)
             n = len(labels)
             yield pa.record_batch(
@@ -187,6 +190,12 @@ def silhouette(df: DataFrame, key: str, v: str, label: str) -> DataFrame:
     return s.withColumn("silhouette", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0)))
 
 
+def pair_distances(points: DataFrame, label: str, key: str = "id") -> DataFrame:
+    """label, mean_distance of the pairs within each cluster of two or more; in blocks, as silhouette() has them."""
+    own = silhouette(points.withColumn("_xy", F.array("x", "y")), key, "_xy", label).filter(F.col("a").isNotNull())
+    return own.groupBy(F.col("label").alias(label)).agg(F.avg("a").alias("mean_distance"))
+
+
 def silhouette_mean(df: DataFrame, key: str, v: str, label: str) -> float:
     return silhouette(df, key, v, label).agg(F.avg("silhouette")).first()[0]
 

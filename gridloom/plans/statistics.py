@@ -199,7 +199,7 @@ def border_quality(spark, sf):
 SELECT round(avg(c), 6) + 0 AS mean_coherence, round(stddev_pop(c), 6) + 0 AS std_coherence, round(min(c), 6) + 0 AS min_coherence, (SELECT round(stddev_pop(n) / avg(n), 6) + 0 FROM z) AS size_cv, (SELECT count(*) FROM z) AS k FROM s""")
 def coherence(spark, sf):
     p = points(spark, sf)
-    c = A.pair_distances(p, "label").select((1.0 / (1.0 + F.col("mean_distance"))).alias("c"))
+    c = C.pair_distances(p, "label").select((1.0 / (1.0 + F.col("mean_distance"))).alias("c"))
     s = c.agg(r6(F.avg("c")).alias("mean_coherence"), r6(F.stddev_pop("c")).alias("std_coherence"), r6(F.min("c")).alias("min_coherence"))
     return s.crossJoin(A.size_balance(p, "label").select(r6("size_cv").alias("size_cv"), "k"))
 
