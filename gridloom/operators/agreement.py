@@ -29,6 +29,8 @@ def agreement(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Dat
 def from_cells(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     part = Window.partitionBy(*by)
+    # Labels by labels: dealt by group once, after which all windows and joins below need no shuffle.
+    cells = cells.repartition(*by) if by else cells.coalesce(1)
     c = cells.withColumn("ra", F.sum("n").over(Window.partitionBy(*by, "a"))).withColumn("rb", F.sum("n").over(Window.partitionBy(*by, "b")))
     c = c.withColumn("total", F.sum("n").over(part).cast("double"))
     # Each margin is counted once, on the first cell of its row or column.
