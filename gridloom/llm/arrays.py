@@ -11,7 +11,7 @@ import pyarrow as pa
 
 #: The finaliser of the public SplitMix64 generator.
 _MIX = ((30, np.uint64(0xBF58476D1CE4E5B9)), (27, np.uint64(0x94D049BB133111EB)))
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
