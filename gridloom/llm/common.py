@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts, in Java's, Python's and RE2's syntax alike.
@@ -102,6 +102,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running_sum(df: DataFrame, group: list[str], chunk: str, order: list, value: Column, name: str) -> DataFrame:
+    """df with the sum of value before each row, within group in the order of chunk, then of order.
+
+    In two levels, the sums of chunks and those within a chunk, so that a large group is no single
+    task; what a task has of a group is a row per chunk.
+    """
+    sums = df.groupBy(*group, chunk).agg(F.sum(value).alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*group).orderBy(chunk)) - F.col("_sum")).drop("_sum")
+    within = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = df.withColumn("_in", F.sum(value).over(within) - value).join(before, [*group, chunk])
+    return both.withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Marks a table for broadcast if it has at most so many rows; else leaves the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, masked, pick, stage, table, words
+from gridloom.llm.common import WORD, masked, pick, running_sum, stage, table, words
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_EPOCHS = 1.5, 2
@@ -55,14 +55,6 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MA
     return sources.select("source", "source_id", "n_docs", "source_size", F.coalesce(target, F.col("most").cast("double")).alias("target"))
 
 
-def _two_level(df: DataFrame, group: list[str], chunk: str, order: list, value, name: str) -> DataFrame:
-    """Running sum of value before each row, within group in the order of chunk, then of order."""
-    sums = df.groupBy(*group, chunk).agg(F.sum(value).alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*group).orderBy(chunk)) - F.col("_sum")).drop("_sum")
-    within = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_in", F.sum(value).over(within) - value).join(before, [*group, chunk]).withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in")
-
-
 def schedule(sources: DataFrame, n_slots: int, total: float) -> DataFrame:
     """slot, source_id, rank: each slot's source, and the number of that source's slots before it."""
     spark = sources.sparkSession
@@ -77,7 +69,7 @@ def schedule(sources: DataFrame, n_slots: int, total: float) -> DataFrame:
     x = (F.col("slot") + F.lit(0.5)) * F.lit(PHI)
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("u", x - F.floor(x)).withColumn("cell", F.floor(F.col("u") * CELLS))
     placed = slots.join(spans, "cell").filter("u >= lo AND u < hi").select("slot", "source_id", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    return _two_level(placed, ["source_id"], "chunk", ["slot"], F.lit(1), "rank").select("slot", "source_id", "rank")
+    return running_sum(placed, ["source_id"], "chunk", ["slot"], F.lit(1), "rank").select("slot", "source_id", "rank")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) ->
         sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         .withColumn("key", key).withColumn("chunk", F.floor(F.col("key") / F.lit(float(1 << 48)) * F.ceil(F.col("n_docs") / CHUNK)))
     )
-    lined = _two_level(lined, ["source_id"], "chunk", ["key", "doc_id", "size", "_row"], F.col("size"), "start")
+    lined = running_sum(lined, ["source_id"], "chunk", ["key", "doc_id", "size", "_row"], F.col("size"), "start")
     lined = stage(lined.select("_row", "doc_id", "source", "size", "source_size", "target", "source_id", "start"), "lines")
     pieces = (
         lined.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))

@@ -23,8 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import pick, stage, table
-from gridloom.llm.mixing import _two_level
+from gridloom.llm.common import pick, running_sum, stage, table
 
 CAPACITY, END = 1024, 2
 
@@ -202,7 +201,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
     pieces = stage(pick(docs, "doc_id", "text").select("_row", "doc_id", "text").mapInArrow(_pieces(path, capacity, end, with_ids), cols), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     spots = spark.sparkContext.broadcast(places(patterns(counts, capacity)))
-    ranked = _two_level(pieces.withColumn("chunk", F.shiftright("_row", 12)), ["length"], "chunk", ["_row", "piece"], F.lit(1), "rank")
+    ranked = running_sum(pieces.withColumn("chunk", F.shiftright("_row", 12)), ["length"], "chunk", ["_row", "piece"], F.lit(1), "rank")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "rank")
     return ranked.mapInArrow(_placer(spots), f"{cols.removeprefix('_row long, ')}, sequence_id long, offset long")
 
