@@ -24,7 +24,9 @@ from gridloom.llm.common import let, pick, small, stage, table, words
 #: Coordinates of the vector and the least standard deviation that each counts with.
 COORDS = {"word_length": 0.05, "symbols": 0.05, "dup_lines": 0.10, "repeats": 0.10, "capitals": 0.05}
 CHI2_MEDIAN = {1: 0.455, 2: 1.386, 3: 2.366, 4: 3.357, 5: 4.351, 6: 5.348}
-NEAREST, STEPS, LEAST_ROWS, CUTOFF = 0.75, 4, 200, 60.0
+#: The 0.9999 quantile of chi-square at 5 degrees of freedom, one for each coordinate.
+CUTOFF = 25.745
+NEAREST, STEPS, LEAST_ROWS = 0.75, 4, 200
 WINDOW = 5
 
 

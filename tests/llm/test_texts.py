@@ -97,6 +97,13 @@ def test_rules_drop_junk_and_keep_the_rest(spark):
     assert np.mean([kept[i] for i in good if i in kept]) > 0.99 and not all(kept.values())
 
 
+def test_rules_reject_most_bad_documents(spark):
+    kept = {r["doc_id"]: r["kept"] for r in outliers.op7_robust_outliers(spark, LARGER).collect() if not r["base_failed"]}
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    good, bad = ([kept[i] for i, q in quality.items() if q == v and i in kept] for v in (1, 0))
+    assert np.mean(bad) < 0.05 and np.mean(good) > 0.998
+
+
 def test_mcd_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.multivariate_normal([1, 2], [[1, 0.6], [0.6, 1]], 600)
