@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import groupby
 from math import comb
 
@@ -34,12 +35,15 @@ from gridloom.llm.arrays import ascii_lower, chunks, hash_words, mix, rolling
 from gridloom.llm.common import masked, pick, small, stage, table
 from gridloom.llm.components import connected_components
 
-WIDTH, SIMILARITY = 5, 85  # words in a shingle; link from this percentage on
-BANDS, ROWS, BATCH, MISS = 25, 6, 30, 1e-6
+WIDTH = 5  # words in a shingle
+#: Link from this percentage on: components() and op5, and near_dedup(), the stage of the pipeline.
+SIMILARITY, STAGE_SIMILARITY = 85, 80
+#: Values of a signature, and the chance under which a pair at the threshold shares no band.
+HASHES, NO_BAND, BATCH, MISS = 150, 1e-5, 30, 1e-6
 #: Members of a bucket, and shingles of a loose group, that one task takes.
 MOST_MEMBERS, MOST_SHINGLES, PIVOTS = 20_000, 4_000_000, 16
 
-_i = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
+_i = np.arange(1, HASHES + 1, dtype=np.uint64)
 _FACTOR, _SHIFT = mix(_i).astype(np.uint32) | np.uint32(1), (mix(_i) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -61,16 +65,25 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A MinHash signature per set; sets must not be empty."""
     starts = np.cumsum([0] + [len(s) for s in sets])[:-1]
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
-    for k in range(BANDS * ROWS):
+    out = np.empty((len(sets), HASHES), np.uint32)
+    for k in range(HASHES):
         out[:, k] = np.minimum.reduceat(x * _FACTOR[k] + _SHIFT[k], starts)
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS)).copy()
-    rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    for k in range(ROWS):
+def banding(similarity: int) -> tuple[int, int]:
+    """Bands and the rows of each, the most that miss a pair at the threshold with a chance under NO_BAND: 25 of 6 at 85 %, 30 of 5 at 80 %."""
+    for n in range(HASHES, 0, -1):
+        if (1 - (similarity / 100) ** n) ** (HASHES // n) < NO_BAND:
+            return HASHES // n, n
+    raise ValueError(f"similarity is too low for {HASHES} hashes: {similarity}")
+
+
+def band_keys(sig: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+    n_bands, n_rows = banding(similarity)
+    key = np.broadcast_to(np.arange(1, n_bands + 1, dtype=np.uint64), (len(sig), n_bands)).copy()
+    rows = sig[:, : n_bands * n_rows].reshape(len(sig), n_bands, n_rows).astype(np.uint64)
+    for k in range(n_rows):
         key = mix(key ^ rows[:, :, k]) + np.uint64(0x9E3779B97F4A7C15)
     return key.view(np.int64)
 
@@ -93,13 +106,17 @@ def least_matches(n: int, similarity: float = SIMILARITY / 100, miss: float = MI
     return n
 
 
-_LEAST = [(n, least_matches(n)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+def bounds(similarity: int) -> list[tuple[int, int]]:
+    return [(n, least_matches(n, similarity / 100)) for n in range(BATCH, HASHES + 1, BATCH)]
+
+
+_LEAST = bounds(SIMILARITY)
 
 
-def survivors(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+def survivors(one: np.ndarray, others: np.ndarray, bound: list[tuple[int, int]] = _LEAST) -> np.ndarray:
     """Which of others' sketches stay plausible partners of one, a batch of values at a time."""
     alive, matches = np.arange(len(others)), np.zeros(len(others), np.int64)
-    for n, least in _LEAST:
+    for n, least in bound:
         matches = matches + (others[alive, n - BATCH : n] == one[n - BATCH : n]).sum(1)
         keep = matches >= least
         alive, matches = alive[keep], matches[keep]
@@ -118,23 +135,24 @@ def link(order: np.ndarray, labels: np.ndarray, partners: Callable[[int, np.ndar
             labels[np.isin(labels, joined)] = joined[0]
 
 
-def link_sketches(nodes: np.ndarray, labels: np.ndarray, rows: list[dict]) -> None:
+def link_sketches(nodes: np.ndarray, labels: np.ndarray, rows: list[dict], similarity: int = SIMILARITY) -> None:
     """Members of one bucket, by sketch; the most typical member first."""
     own = np.stack([np.frombuffer(r["sketch"], np.uint8) for r in rows])
     typical = np.zeros(len(own), np.int64)
     for k in range(own.shape[1]):
         typical += np.bincount(own[:, k], minlength=256)[own[:, k]]
-    link(np.argsort(-typical, kind="stable"), labels, lambda one, rest: rest[survivors(own[one], own[rest])])
+    bound = bounds(similarity)
+    link(np.argsort(-typical, kind="stable"), labels, lambda one, rest: rest[survivors(own[one], own[rest], bound)])
 
 
-def link_texts(nodes: np.ndarray, labels: np.ndarray, rows: list[dict]) -> None:
+def link_texts(nodes: np.ndarray, labels: np.ndarray, rows: list[dict], similarity: int = SIMILARITY) -> None:
     """Members of one loose group, by full sets; pairs that share a band only, each in the first band they share."""
     sets = shingle_sets([r["text"] for r in rows])
     sig = signatures(sets)
-    bands, own, size = band_keys(sig), sketches(sig), np.array([len(s) for s in sets])
+    bands, own, size, bound = band_keys(sig, similarity), sketches(sig), np.array([len(s) for s in sets]), bounds(similarity)
     typical = np.zeros(len(rows), np.int64)
     buckets = []
-    for k in range(BANDS):
+    for k in range(bands.shape[1]):
         _, code, n = np.unique(bands[:, k], return_inverse=True, return_counts=True)
         typical += n[code]
         members = np.argsort(code, kind="stable")
@@ -143,15 +161,15 @@ def link_texts(nodes: np.ndarray, labels: np.ndarray, rows: list[dict]) -> None:
 
         def partners(one, rest, k=k):
             first = (bands[rest, :k] != bands[one, :k]).all(1)
-            close = 100 * np.minimum(size[rest], size[one]) >= SIMILARITY * np.maximum(size[rest], size[one])
+            close = 100 * np.minimum(size[rest], size[one]) >= similarity * np.maximum(size[rest], size[one])
             rest = rest[first & close]
-            rest = rest[survivors(own[one], own[rest])]
+            rest = rest[survivors(own[one], own[rest], bound)]
             if not len(rest):
                 return rest
             flat = np.concatenate([sets[r] for r in rest])
             at = np.minimum(np.searchsorted(sets[one], flat), size[one] - 1)
             inter = np.add.reduceat((sets[one][at] == flat).astype(np.int64), np.cumsum([0, *size[rest]])[:-1])
-            return rest[100 * inter >= SIMILARITY * (size[one] + size[rest] - inter)]
+            return rest[100 * inter >= similarity * (size[one] + size[rest] - inter)]
 
         for members in found:
             link(members[np.argsort(-typical[members], kind="stable")], labels, partners)
@@ -216,32 +234,36 @@ def linked(members: DataFrame, method: Callable, most: int) -> DataFrame:
     return _run(plain, method).unionByName(edges).unionByName(again)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches):
-        sets = shingle_sets(texts)
-        full = [i for i, s in enumerate(sets) if len(s)]
-        bands: list = [None] * len(sets)
-        sketch: list = [None] * len(sets)
-        if full:
-            sig = signatures([sets[i] for i in full])
-            for i, b, s in zip(full, band_keys(sig), sketches(sig), strict=True):
-                bands[i], sketch[i] = b, s.tobytes()
-        digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        yield pa.record_batch(
-            [*(part.column(n) for n in ("_row", "doc_id", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-            ["_row", "doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"],
-        )
+def _features(similarity: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            sets = shingle_sets(texts)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            bands: list = [None] * len(sets)
+            sketch: list = [None] * len(sets)
+            if full:
+                sig = signatures([sets[i] for i in full])
+                for i, b, s in zip(full, band_keys(sig, similarity), sketches(sig), strict=True):
+                    bands[i], sketch[i] = b, s.tobytes()
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.record_batch(
+                [*(part.column(n) for n in ("_row", "doc_id", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["_row", "doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"],
+            )
+
+    return run
 
 
 def _text_hash(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept per row of docs."""
+def components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept per row of docs; links from similarity in percent on."""
+    by_sketch, by_text = partial(link_sketches, similarity=similarity), partial(link_texts, similarity=similarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = pick(docs, "doc_id", "text").select("_row", "doc_id", _text_hash(F.col("text")).alias("text_hash"), "text")
-    rows = stage(rows.mapInArrow(_features, f"_row long, doc_id {kind}, text_hash long, n_shingles long, digest binary, bands array<long>, sketch binary"), "features")
+    rows = stage(rows.mapInArrow(_features(similarity), f"_row long, doc_id {kind}, text_hash long, n_shingles long, digest binary, bands array<long>, sketch binary"), "features")
     classes = stage(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("node"), F.min("doc_id").alias("class_id")), "classes")
     reps = rows.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "node")
     # Step 2: band keys that several classes share, with the members' sketches.
@@ -250,13 +272,13 @@ def components(docs: DataFrame) -> DataFrame:
     pairs = stage(keys.join(shared, "part"), "pairs")
     central = pairs.groupBy("node").agg(F.sum("n").alias("central"))  # how many share its bands
     members = pairs.drop("n").join(reps.select("node", "sketch").join(central, "node"), "node").withColumn("weight", F.lit(1))
-    loose = connected_components(linked(stage(members, "members"), link_sketches, MOST_MEMBERS))
+    loose = connected_components(linked(stage(members, "members"), by_sketch, MOST_MEMBERS))
     loose = stage(loose.join(reps.select("node", "doc_id", "text_hash", "n_shingles"), "node").join(central, "node"), "loose")
     # Step 3: the texts of loose groups, found again by id and hash.
     texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("text")).withColumn("_hash", _text_hash(F.col("text")))
     same = loose["doc_id"].eqNullSafe(texts["_id"]) & (loose["text_hash"] == texts["_hash"])
     groups = texts.join(small(loose, 200_000), same).select(F.col("root").alias("part"), "node", F.col("n_shingles").alias("weight"), "central", "text")
-    edges = stage(linked(groups, link_texts, MOST_SHINGLES), "links")
+    edges = stage(linked(groups, by_text, MOST_SHINGLES), "links")
     roots = connected_components(edges)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
@@ -278,9 +300,9 @@ def _decide(rows: DataFrame, named: DataFrame) -> DataFrame:
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
     """The rows of docs that are kept, one document of each component, with all columns."""
-    found = components(docs)
+    found = components(docs, similarity)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
     own, at, back = masked(docs)
     marked = own.withColumn("_hash", _text_hash(F.col(at["text"]).cast("string")))
@@ -289,4 +311,4 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents")).drop("text_hash")
+    return components(table(spark, sf_dir, "documents"), SIMILARITY).drop("text_hash")

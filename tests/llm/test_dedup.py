@@ -118,6 +118,20 @@ def test_near_with_groups_dealt_to_several_tasks(spark, monkeypatch):
     assert result(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
+def test_near_copies_between_the_thresholds(spark):
+    assert N.banding(85) == (25, 6) and N.banding(80) == (30, 5)
+    r = random.Random(9)
+    docs = []
+    for k in range(60):  # similarity 0.80 to 0.85: 200 words, 196 shingles, of which the copy changes 20
+        one = [f"x{r.randrange(5000)}" for _ in range(200)]
+        docs += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(w if j % 49 else f"y{k}" for j, w in enumerate(one[:200])))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in docs]
+    assert all(80 <= 100 * len(a & b) / len(a | b) < 85 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert N.near_dedup(df, similarity=85).count() == 120
+    assert sorted(x["doc_id"] for x in N.near_dedup(df).collect()) == list(range(0, 120, 2))
+
+
 def test_near_messy(spark, messy):
     rows = N.components(messy).collect()
     assert len(rows) == messy.count()
