@@ -4,6 +4,8 @@ Each source's documents are shuffled (by md5 of the id) into one line of words a
 of equal length. Slot i of the schedule is the golden-ratio point frac((i + 1/2) * phi), mapped
 through the cumulative targets to a source; the slots of a source are ranked, and rank r takes
 block r mod n of the source's n blocks, in epoch r div n. Nothing is drawn at random, so reruns agree.
+Where the limit of slots makes blocks longer, sources of few blocks are not left to the slots: the words
+of their line are taken up to the target, and their places are spread evenly over the schedule.
 
 All ranks and running sums are in two levels (chunks, then within a chunk), so that a source with
 a third of all rows is no single task.
@@ -83,8 +85,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) ->
     sources = stage(source_targets(sizes, weights, share, max_epochs), "sources")
     total, least = sources.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
     total = total or 0.0
-    n = min(SLOTS_MOST, -(-total * SLOTS_LEAST // least)) if least else 0
+    wanted = -(-total * SLOTS_LEAST // least) if least else 0
+    n = min(SLOTS_MOST, wanted)
     block = max(1, -int(-total // n)) if n else 1
+    # The least target that slots serve, if the limit has made blocks longer than that source asks for.
+    least_by_slots = SLOTS_LEAST * block if n and block > max(1, -int(-total // wanted)) else 0
     n_slots = -int(-total // block)
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
     lined = (
@@ -97,15 +102,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) ->
         lined.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
         .withColumn("from", F.greatest(F.col("start"), F.col("block") * block))
         .withColumn("n_words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("from"))
-        .select("_row", "source_id", "block", (F.col("from") - F.col("start")).alias("first"), "n_words")
+        .select("_row", "source_id", "block", "from", (F.col("from") - F.col("start")).alias("first"), "n_words")
     )
     n_blocks = F.ceil(F.col("source_size") / block)
     turns = (
-        schedule(sources, n_slots, total).join(sources.select("source_id", "source_size"), "source_id")
+        schedule(sources, n_slots, total).join(sources.filter(F.col("target") >= least_by_slots).select("source_id", "source_size"), "source_id")
         .withColumn("epoch", F.floor(F.col("rank") / n_blocks)).filter(F.col("epoch") < max_epochs)
         .select("source_id", "slot", "epoch", (F.col("rank") - F.col("epoch") * n_blocks).alias("block"))
     )
-    return lined.drop("source_id", "start"), pieces.join(turns, ["source_id", "block"]).select("_row", "slot", "epoch", "first", "n_words")
+    taken = pieces.join(turns, ["source_id", "block"]).select("_row", "slot", "epoch", "first", "n_words")
+    if least_by_slots:
+        few = sources.filter((F.col("target") > 0) & (F.col("target") < least_by_slots)).select("source_id", "source_size", "target")
+        taken = taken.unionByName(_up_to_target(pieces.join(few, "source_id"), n_slots, max_epochs))
+    return lined.drop("source_id", "start"), taken
+
+
+def _up_to_target(pieces: DataFrame, n_slots: int, max_epochs: int) -> DataFrame:
+    """_row, slot, epoch, first, n_words: what the first words of each source's line, as many as its target, take of pieces."""
+    at = F.col("epoch") * F.col("source_size") + F.col("from")
+    left = F.round("target").cast("long") - F.col("at")
+    return (
+        pieces.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long")))).withColumn("at", at)
+        .withColumn("n_words", F.least("n_words", left)).filter("n_words > 0")
+        .select("_row", F.floor(F.col("at") / F.col("target") * n_slots).alias("slot"), "epoch", "first", "n_words")
+    )
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:

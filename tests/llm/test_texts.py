@@ -251,6 +251,28 @@ def test_schedule_is_spread_evenly(spark):
         assert all(abs(rank - share * slot) < 12 for slot, rank in own)
 
 
+def test_small_sources_when_the_slots_are_at_their_limit(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_LEAST", 64)
+    monkeypatch.setattr(mixing, "SLOTS_MOST", 1024)
+    sizes = [("a", 200, 500), ("b", 100, 500), ("c", 6, 50), ("d", 40, 500)]  # source, documents, words of each
+    rows = [(f"{s}{i}", " ".join(["w"] * n), s) for s, k, n in sizes for i in range(k)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    weights = (1000, 1000, 1000, 1)
+    sized, taken = mixing.mix(docs, weights)
+    per = {r["_row"]: r["n"] for r in taken.groupBy("_row").agg(F.sum("n_words").alias("n")).collect()}
+    got, target = Counter(), {}
+    for r in sized.collect():
+        assert per.get(r["_row"], 0) <= 2 * r["size"]
+        got[r["source"]] += per.get(r["_row"], 0)
+        target[r["source"]] = r["target"]
+    assert target["c"] == 600 and got["c"] == 600 and 100 < target["d"] < 200 and got["d"] == round(target["d"])
+    assert all(abs(got[s] - target[s]) <= 0.02 * target[s] for s in "ab")
+    n_slots = taken.agg(F.max("slot")).first()[0]
+    assert n_slots < 1024
+    out = Counter(r["doc_id"][0] for r in mixing.mixed_documents(docs, weights).collect())
+    assert out["c"] == 12 and out["d"] == 1
+
+
 def test_mix_messy(spark, messy, empty):
     sized, taken = mixing.mix(messy)
     assert sized.count() == messy.count() and {r["size"] for r in sized.filter("doc_id IN (3, 4, 5)").collect()} == {0}
