@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import stage
 
-ROUNDS = 60
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of edges(u, v); no order of u and v is asked for.
@@ -20,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = stage(_pointed(edges.select("u", "v")), "edges")
     seen = None
-    for _ in range(ROUNDS):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from gridloom.llm import near_dedup as N
+from gridloom.llm import components
 from gridloom.llm.common import new_path
 from gridloom.llm.components import connected_components
 from gridloom.llm.exact_dedup import DigestIndex, exact_dedup, op8_exact_dedup
@@ -160,6 +161,14 @@ def test_components_of_a_chain_a_cycle_and_a_star(spark):
     assert got == {**{i: 100 for i in range(100, 131)}, 200: 200, 201: 200, 202: 200, **{300 + i: 300 for i in range(20)}}
 
 
+def test_components_need_no_limit_of_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "ROUNDS", 1, raising=False)
+    edges = [(i, i + 1) for i in range(60)]
+    random.Random(2).shuffle(edges)
+    got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == [(i, 0) for i in range(61)]
+
+
 @pytest.mark.parametrize("n", [1, 2])
 def test_components_of_nothing(spark, n):
     assert connected_components(spark.createDataFrame([(1, 1)] * n, "u long, v long")).count() == 0
