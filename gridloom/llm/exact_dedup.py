@@ -65,7 +65,9 @@ class DigestIndex:
         """Joins the rows to the index; hot digests apart, so that no task gets a large group."""
         hot_rows = max(HOT_LEAST, rows.count() // HOT_SHARE)
         index = self.table()
-        hot = F.broadcast(index.filter(F.col("n_rows") >= hot_rows).orderBy(F.desc("n_rows")).limit(HOT_SHARE))
+        # Staged, so that both joins have the same digests whatever the ties; an index of many batches can hold more than the limit.
+        hot = index.filter(F.col("n_rows") >= hot_rows).orderBy(F.desc("n_rows"), "digest").limit(HOT_SHARE)
+        hot = F.broadcast(stage(hot, "hot"))
         first = rows.join(hot, "digest")
         rest = rows.join(hot.select("digest"), "digest", "left_anti").join(index.hint("merge"), "digest")
         kept = (F.col("batch") == batch) & (F.col("_row") == F.col("keep_row"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from gridloom.llm import exact_dedup as exact
 from gridloom.llm import near_dedup as N
 from gridloom.llm import components
 from gridloom.llm.common import new_path
@@ -58,6 +59,17 @@ def test_a_hot_text_is_joined_apart(spark):
     assert sum(r["kept"] for r in rows) == 334 and {r["keep_id"] for r in rows if r["n_rows"] == 167} == {498}
 
 
+def test_hot_texts_of_earlier_batches_are_chosen_once(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HOT_SHARE", 3)
+    monkeypatch.setattr(exact, "HOT_LEAST", 2)
+    index = DigestIndex(spark, new_path(spark, "index"), buckets=4)
+    index.add(spark.range(800).selectExpr("id AS doc_id", "'text ' || id % 40 AS text"))
+    found = index.add(spark.range(1000, 1040).selectExpr("id AS doc_id", "'text ' || id % 40 AS text"))
+    assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = [(i, 760 + i % 40, 20, False) for i in range(1000, 1040)]
+    assert sorted((r["doc_id"], r["keep_id"], r["n_rows"], r["kept"]) for r in found.collect()) == want
+
+
 def brute(docs):
     sets = {}
     for i, t in docs:
