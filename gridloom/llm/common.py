@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,12 +49,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 _staged: list[str] = []
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Deletes what stage() has written in this process; results that still read it must be written before."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     while _staged:
-        path = hadoop(_staged.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _staged.pop())
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -63,7 +68,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._staged_at = path
+    return again
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes tables that stage() has returned; nothing may read them any more."""
+    for df in tables:
+        if df._staged_at in _staged:
+            _staged.remove(df._staged_at)
+            delete(df.sparkSession, df._staged_at)
+
+
+def staged_alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stages what build() gives, and deletes the tables that were staged on the way."""
+    before = set(_staged)
+    out = stage(build(), name)
+    for path in [x for x in _staged if x not in before and x != out._staged_at]:
+        _staged.remove(path)
+        delete(out.sparkSession, path)
+    return out
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
@@ -118,3 +143,16 @@ def running_sum(df: DataFrame, group: list[str], chunk: str, order: list, value:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Marks a table for broadcast if it has at most so many rows; else leaves the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def split_join(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The inner join of rows to other, which has a row per key, without a task for a frequent key.
+
+    Keys with a ten-thousandth of the rows or more, so at most 10,000, are joined by broadcast, the
+    others by shuffle. Both tables must be staged, since they are read more than once.
+    """
+    often = max(100, rows.count() // 10_000)
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= often).select(key)
+    hot = F.broadcast(stage(hot, "often"))
+    first = rows.join(F.broadcast(other.join(hot, key)), key)
+    return first.unionByName(rows.join(hot, key, "left_anti").join(other, key))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stage
+from gridloom.llm.common import stage, unstage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,10 +23,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(_pointed(large), "large")
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u")
-        small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = stage(_pointed(small), "edges")
+        lower = stage(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        small = large.join(lower, "u")
+        small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
+        after = stage(_pointed(small), "edges")
+        unstage(now, least, large, lower)
+        now = after
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
