@@ -184,3 +184,35 @@ def test_components_need_no_limit_of_rounds(spark, monkeypatch):
 @pytest.mark.parametrize("n", [1, 2])
 def test_components_of_nothing(spark, n):
     assert connected_components(spark.createDataFrame([(1, 1)] * n, "u long, v long")).count() == 0
+
+
+def test_index_keeps_its_buckets_when_reopened(spark):
+    path = new_path(spark, "index")
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'text ' || id AS text")
+    assert DigestIndex(spark, path, buckets=4).add(docs).filter("kept").count() == 2000
+    again = DigestIndex(spark, path, buckets=64)
+    assert again.buckets == 4 and again.add(docs).filter("kept").count() == 0
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path, id_type=exact.T.StringType())
+    again.close()
+    assert again.name not in {t.name for t in spark.catalog.listTables()}
+
+
+def test_index_takes_a_failed_batch_again(spark, monkeypatch):
+    path = new_path(spark, "index")
+    docs = spark.createDataFrame([(i, f"t{i // 2}") for i in range(40)] + [(39, "t19")], "doc_id long, text string")
+    index = DigestIndex(spark, path, buckets=4)
+    with monkeypatch.context() as m:
+        m.setattr(exact._Notes, "write", lambda *a: 1 / 0)  # fails after the rows are appended
+        with pytest.raises(ZeroDivisionError):
+            index.add(docs, "monday")
+    first = [sorted((r["doc_id"], r["keep_id"], r["n_rows"], r["kept"]) for r in DigestIndex(spark, path).add(d, "monday").collect()) for d in (docs, docs.repartition(3))]
+    assert first[0] == first[1] and sum(x[3] for x in first[0]) == 20 and {x[1] for x in first[0]} == set(range(1, 40, 2))
+    assert DigestIndex(spark, path).table().count() == 20
+    assert DigestIndex(spark, path).add(docs, "tuesday").filter("kept").count() == 0
+
+
+def test_a_query_leaves_no_table_behind(spark, small_docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup(small_docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
