@@ -9,13 +9,16 @@
    on the full sets. Pairs that are connected already need no test, so a group of copies of one text
    costs about one test per copy, not one per pair, and no pair is ever a row.
 
-The groups of steps 2 and 3 go to tasks of bounded size: one that is over the limit is dealt to
-several tasks, each of which gets the PIVOTS most central members too; what is not connected to the
-largest part after that is compared with all parts again. So nothing is capped.
+The groups of steps 2 and 3 go to tasks of bounded size: one that is over the limit is dealt in
+chunks, each of which gets the PIVOTS most central members too. What is not connected to the
+largest part after that is dealt in chunks again, and each of these meets each of the first, two
+chunks to a task. So nothing is capped, and no task has more than two chunks; a group that is
+over the limit and mostly unlike costs as many tasks as it has pairs of chunks.
 
 Defined results: texts without words, null ones too, are linked with nothing. Rows with the same id
-are rows of their own; rows with a null id link like others, and are kept only where no id is in
-their component. An empty table gives an empty result.
+are rows of their own in components(), while near_dedup() leaves one row of a component; rows with
+a null id link like others, and are kept only where no id is in their component. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrays import ascii_lower, chunks, hash_words, mix, rolling
-from gridloom.llm.common import masked, pick, small, stage, table
+from gridloom.llm.common import masked, pick, small, split_join, stage, staged_alone, table
 from gridloom.llm.components import connected_components
 
 WIDTH = 5  # words in a shingle
@@ -41,7 +44,7 @@ SIMILARITY, STAGE_SIMILARITY = 85, 80
 #: Values of a signature, and the chance under which a pair at the threshold shares no band.
 HASHES, NO_BAND, BATCH, MISS = 150, 1e-5, 30, 1e-6
 #: Members of a bucket, and shingles of a loose group, that one task takes.
-MOST_MEMBERS, MOST_SHINGLES, PIVOTS = 20_000, 4_000_000, 16
+MOST_MEMBERS, MOST_SHINGLES, PIVOTS = 4_000, 400_000, 16
 
 _i = np.arange(1, HASHES + 1, dtype=np.uint64)
 _FACTOR, _SHIFT = mix(_i).astype(np.uint32) | np.uint32(1), (mix(_i) >> np.uint64(32)).astype(np.uint32)
@@ -210,28 +213,40 @@ def linked(members: DataFrame, method: Callable, most: int) -> DataFrame:
     """Edges (u, v) that connect what the method links. members: part, node, weight, central, and what the method needs.
 
     A part of a total weight over `most` is dealt in chunks. First each chunk is run with the
-    part's pivots; then the members outside the part's largest component so far, with every chunk.
+    part's pivots; then the members outside the part's largest component so far, dealt in chunks
+    too, with every chunk of the part.
     """
     members = members.withColumn("label", F.col("node"))
     sizes = members.groupBy("part").agg(F.sum("weight").alias("size"))
     hot = stage(sizes.filter(F.col("size") > most).select("part", F.ceil(F.col("size") / most).cast("int").alias("n_chunks")), "hot")
     if hot.isEmpty():
-        return _run(members.withColumn("chunk", F.lit(0)), method)
+        return _run(members.withColumn("chunk", F.lit(0).cast("long")), method)
     hot = small(hot, 100_000)
-    plain = members.join(hot, "part", "left_anti").withColumn("chunk", F.lit(0))
-    dealt = stage(members.join(hot, "part").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int")), "dealt")
-    each = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("central"), "node"))
-    pivots = stage(dealt.select("part", "node", "central").withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("part", "node"), "pivots")
-    copies = dealt.drop("chunk").join(small(pivots, 100_000), ["part", "node"], "left_semi").withColumn("chunk", each)
+    plain = members.join(hot, "part", "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    dealt = stage(members.join(hot, "part").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n_chunks"))), "dealt")
+
+    def top(rows: DataFrame, group: list[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("central"), "node"))
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).drop("rank")
+
+    # The most central of a part are among the most central of its chunks.
+    pivots = stage(top(top(dealt.select("part", "chunk", "node", "central"), ["part", "chunk"]), ["part"]).select("part", "node"), "pivots")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - F.lit(1).cast("long")))
+    copies = dealt.drop("chunk").join(small(pivots, 100_000), ["part", "node"], "left_semi").withColumn("chunk", every)
     edges = stage(_run(dealt.unionByName(copies).drop("n_chunks"), method), "edges")
     roots = stage(connected_components(edges).withColumnRenamed("root", "label"), "roots")
-    now = dealt.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    now = stage(now, "dealt")
-    parts = now.groupBy("part", "label").agg(F.count("*").alias("n")).groupBy("part").agg(F.max_by("label", "n").alias("main"))
-    loose = now.join(small(parts, 100_000), "part").filter(F.col("label") != F.col("main")).drop("chunk", "main").withColumn("chunk", each)
-    again = _run(now.unionByName(loose).drop("n_chunks"), method)
-    return _run(plain, method).unionByName(edges).unionByName(again)
+    now = stage(dealt.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    parts = now.groupBy("part", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("size"))
+    parts = parts.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("size").alias("all"), F.max_by("size", F.struct("n", "label")).alias("size"))
+    parts = parts.select("part", "main", F.ceil((F.col("all") - F.col("size")) / most).cast("long").alias("n_loose")).filter("n_loose > 0")
+    now = now.join(small(stage(parts, "parts"), 100_000), "part")
+    # Task (i, k): chunk i of what is loose, and chunk k of all.
+    loose = now.filter(F.col("label") != F.col("main")).withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_loose")))
+    loose = loose.withColumn("k", every).select(*dealt.columns, (F.col("i") * F.col("n_chunks") + F.col("k")).alias("task"))
+    others = now.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_loose") - F.lit(1).cast("long"))))
+    others = others.select(*dealt.columns, (F.col("i") * F.col("n_chunks") + F.col("chunk")).alias("task"))
+    again = loose.unionByName(others).drop("n_chunks", "chunk").withColumnRenamed("task", "chunk")
+    return _run(plain, method).unionByName(edges).unionByName(_run(again, method))
 
 
 def _features(similarity: int) -> Callable:
@@ -259,7 +274,10 @@ def _text_hash(text):
 
 
 def components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept per row of docs; links from similarity in percent on."""
+    """doc_id, text_hash, n_shingles, component_id, kept, root per row of docs; links from similarity in percent on.
+
+    root is a number of the component, null for texts without words.
+    """
     by_sketch, by_text = partial(link_sketches, similarity=similarity), partial(link_texts, similarity=similarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = pick(docs, "doc_id", "text").select("_row", "doc_id", _text_hash(F.col("text")).alias("text_hash"), "text")
@@ -280,35 +298,42 @@ def components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     groups = texts.join(small(loose, 200_000), same).select(F.col("root").alias("part"), "node", F.col("n_shingles").alias("weight"), "central", "text")
     edges = stage(linked(groups, by_text, MOST_SHINGLES), "links")
     roots = connected_components(edges)
-    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "root").select("digest", "component_id", F.col("class_id"))
-    return _decide(rows.drop("bands", "sketch"), stage(named, "named"))
-
-
-def _decide(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """Joins the rows to their class; classes of many rows apart, so that no task gets a large group."""
-    hot_rows = max(100, rows.count() // 10_000)  # so at most 10,000 classes are broadcast
-    often = rows.filter("n_shingles > 0").groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") >= hot_rows).select("digest")
-    often = F.broadcast(stage(often, "often"))
-    alone = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    full = rows.filter("n_shingles > 0")
-    first = full.join(F.broadcast(named.join(often, "digest")), "digest")
-    rest = full.join(often, "digest", "left_anti").join(named, "digest")
-    out = ["doc_id", "text_hash", "n_shingles", "component_id"]
-    every = alone.select(*out).unionByName(first.select(*out)).unionByName(rest.select(*out))
+    named = stage(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    least = stage(named.groupBy("root").agg(F.min("class_id").alias("component_id")), "least")
+    named = stage(split_join(named.select("digest", "root"), least, "root"), "ids")
+    rows = rows.drop("bands", "sketch")
+    alone = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
+    out = ["doc_id", "text_hash", "n_shingles", "component_id", "root"]
+    every = alone.select(*out).unionByName(split_join(rows.filter("n_shingles > 0"), named, "digest").select(*out))
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
-    """The rows of docs that are kept, one document of each component, with all columns."""
-    found = components(docs, similarity)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    """The rows of docs that are kept, one of each component, with all columns.
+
+    Where rows repeat the id that is kept, the one with the least hash of its text stays.
+    """
+    found = staged_alone(lambda: components(docs, similarity), "components")
+    full = found.filter("root IS NOT NULL")
+    kept = full.filter("kept").groupBy("root").agg(F.min("text_hash").alias("_first"), F.count("*").alias("_n"))
+    # Only a repeated id leaves more than one row to a component.
+    again = stage(kept.filter("_n > 1").select("root", "_first"), "again")
+    gone, twice = full.filter(~F.col("kept")), None
+    if not again.isEmpty():
+        known = full.filter("kept").join(small(again, 200_000), "root")
+        gone = gone.select("doc_id", "text_hash").unionByName(known.filter("text_hash != _first").select("doc_id", "text_hash"))
+        twice = known.filter("text_hash = _first").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
     own, at, back = masked(docs)
     marked = own.withColumn("_hash", _text_hash(F.col(at["text"]).cast("string")))
     same = F.col(at["doc_id"]).eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash"))
-    return marked.join(small(stage(gone, "gone"), 200_000), same, "left_anti").select(*back)
+    left = marked.join(small(stage(gone, "gone"), 200_000), same, "left_anti")
+    if twice is None:
+        return left.select(*back)
+    twice = small(stage(twice, "twice"), 200_000)
+    one = left.join(twice, same, "left_semi").dropDuplicates([at["doc_id"], "_hash"])
+    return left.join(twice, same, "left_anti").unionByName(one).select(*back)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents"), SIMILARITY).drop("text_hash")
+    return components(table(spark, sf_dir, "documents"), SIMILARITY).drop("text_hash", "root")

@@ -216,3 +216,30 @@ def test_a_query_leaves_no_table_behind(spark, small_docs):
     before = {t.name for t in spark.catalog.listTables()}
     exact_dedup(small_docs).count()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_no_task_gets_more_than_two_chunks(spark, monkeypatch):
+    most, members = 50, 600
+    sizes = []
+    sketches = [random.Random(i).randbytes(N.HASHES) for i in range(members)]
+    rows = [(1, i, 1, 1, s) for i, s in enumerate(sketches)] + [(2, 1000 + i, 1, 1, sketches[0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "part long, node long, weight int, central int, sketch binary")
+    run = N._run
+
+    def counted(rows, method):
+        sizes.extend(r["count"] for r in rows.groupBy("part", "chunk").count().collect())
+        return run(rows, method)
+
+    monkeypatch.setattr(N, "_run", counted)
+    edges = [(r["u"], r["v"]) for r in N.linked(df, N.link_sketches, most).collect()]
+    assert max(sizes) <= 2.7 * most + N.PIVOTS  # chunks are dealt by hash, so some are over the mean
+    assert not any(u < 1000 for u, _ in edges)  # unlike
+    got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(got) == 300 and {r["root"] for r in got} == {1000}
+
+
+def test_near_keeps_one_row_where_ids_repeat(spark):
+    text, near = " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(299))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (1, near), (3, "other words only here today"), (3, "some quite unlike text of that id"), (4, ""), (4, "")], "doc_id long, text string")
+    got = [r["doc_id"] for r in N.near_dedup(docs).collect()]
+    assert sorted(got) == [1, 3, 3, 4, 4]
