@@ -2,11 +2,12 @@
 
 Trees are grown level by level on histograms of binned statistics, and kept as complete trees in
 flat arrays, which a block of documents descends together, a level at a time. They are fitted on a
-bounded sample (MAX_DOCS labelled documents of at most MAX_CHARS characters, of which only the
-statistics leave the executors); all texts are scored whole.
+bounded sample (MAX_DOCS labelled documents, of which only the statistics leave the executors); all
+texts are scored whole.
 
 Defined results: a null text counts as empty, and has a score like any other; rows with the same id
-are rows of their own; an empty table gives an empty result; without labels all scores are 1.
+are rows of their own, of which training takes the one with the least statistics as bytes; an empty
+table gives an empty result; without labels all scores are 1.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.arrays import chunks
 from gridloom.llm.common import fold, masked, pick, small_batches, table
-from gridloom.llm.labels import training_sample
+from gridloom.llm.labels import one_per_id, training_sample
 
-MAX_DOCS, MAX_CHARS, THRESHOLD = 20_000, 200_000, 0.3
+MAX_DOCS, THRESHOLD = 20_000, 0.3
 ROUNDS, DEPTH, BINS, RATE, RIDGE, LEAST = 80, 4, 64, 0.15, 1.0, 5.0
 
 _CLASS = np.zeros(256, np.int64)  # 0 other, then upper, lower, digit, symbol, stop, comma, shout, bar, space, line end, byte over 127
@@ -112,39 +114,43 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_DOCS) -> dict[str, np.ndarray] | None:
     """The forest, or None without labels. At most `most` short rows come to the driver."""
-    rows = training_sample(docs, labels, label, most, MAX_CHARS).mapInArrow(_statistics, "key string, label int, x binary").toArrow()
+    sample = small_batches(training_sample(docs, labels, label, most))
+    rows = one_per_id(sample.mapInArrow(_statistics, "key string, label int, x binary")).toArrow()
     if not rows.num_rows:
         return None
-    rows = rows.sort_by([("key", "ascending"), ("x", "ascending")])
+    rows = rows.sort_by("key")
     x = np.stack([np.frombuffer(v, np.float32) for v in rows.column("x").to_pylist()])
     return boost(x, rows.column("label").to_numpy().astype(float))
 
 
-def _scorer(model):
+def _scorer(model, text: str = "text"):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = model.value
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, text):
             p = np.ones(len(texts)) if forest is None else traverse(forest, statistics(texts))
-            names = [n for n in part.schema.names if n != "text"]
-            yield pa.record_batch([*(part.column(n) for n in names), pa.array(p)], [*names, "score"])
+            yield part.append_column("score", pa.array(p))
 
     return score
 
 
+def _scored(df: DataFrame) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+
+
 def quality(docs: DataFrame, forest: dict[str, np.ndarray] | None) -> DataFrame:
     """doc_id, score per row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return pick(docs, "doc_id", "text").select("doc_id", "text").mapInArrow(_scorer(shared), f"doc_id {kind}, score double")
+    given = pick(docs, "doc_id", "text").select("doc_id", "text")
+    return given.mapInArrow(_scorer(shared), _scored(given)).select("doc_id", "score")
 
 
 def accepted(docs: DataFrame, forest: dict[str, np.ndarray] | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is at least the threshold, with all their columns."""
+    """The rows of docs whose score is at least the threshold, with all their columns, of which text is a string."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     own, at, back = masked(small_batches(docs))
-    given = own.withColumn("text", F.col(at["text"]).cast("string"))
-    schema = given.drop("text").schema.add("score", "double")
-    return given.mapInArrow(_scorer(shared), schema).filter(F.col("score") >= threshold).select(*back)
+    given = own.withColumn(at["text"], F.col(at["text"]).cast("string"))
+    scored = given.mapInArrow(_scorer(shared, at["text"]), _scored(given))
+    return scored.filter(F.col("score") >= threshold).select(*back)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Toxicity, quality and language-model scores."""
 
+import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -162,3 +164,64 @@ def test_pack_and_unpack():
         x = np.random.default_rng(0).integers(0, 1 << 30, 1000).astype(kind)
         assert (M.unpack(M.pack(x), 1000, kind) == x).all()
     assert len(M.unpack(M.pack(np.zeros(0, "<u8")), 0)) == 0
+
+
+def trained(spark, label, turn):
+    """The training rows in order: (label, what turn() makes of the text)."""
+    from conftest import DATA
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r[label]) for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()]
+    labels = [x for x in labels if x[0] in docs and zlib.crc32(str(x[0]).encode()) % 5 and x[1] is not None]
+    return docs, [(y, turn(docs[i])) for i, y in sorted(labels, key=lambda x: hashlib.md5(str(x[0]).encode()).hexdigest())]
+
+
+def test_toxicity_against_scratch(spark):
+    """FTRL-proximal coordinate by coordinate, on the same hashed features."""
+    from conftest import DATA
+
+    def turn(text):
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", text.encode().lower())
+        want = len(words) * 2 + max(0, len(words) - 1) + max(0, len(words) - 2)
+        found = X.features([text])[1]
+        assert len(found) == want  # words, stems, pairs, pairs around a word
+        return sorted(set(found.tolist()))
+
+    docs, rows = trained(spark, "toxic", turn)
+    z, n, bias = {}, {}, 1 << X.BITS
+
+    def weight(i):
+        s, least = z.get(i, 0.0), 0.0 if i == bias else X.L1
+        return 0.0 if abs(s) <= least else -(s - math.copysign(least, s)) / ((X.BETA + math.sqrt(n.get(i, 0.0))) / X.ALPHA + X.L2)
+
+    for _ in range(X.EPOCHS):
+        for y, x in rows:
+            w = {i: weight(i) for i in [*x, bias]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / X.ALPHA * w[i]
+                n[i] = old + g * g
+    got = {r["doc_id"]: r["score"] for r in X.op1_toxicity(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for i, text in docs.items():
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(weight(k) for k in [*turn(text), bias]))), rel=1e-6, abs=1e-9)
+
+
+def test_quality_against_scratch(spark):
+    """The same forest from rows collected by hand, descended node by node."""
+    from conftest import DATA
+
+    docs, rows = trained(spark, "quality", lambda t: Q.statistics([t])[0])
+    f = Q.boost(np.stack([x for _, x in rows]), np.array([float(y) for y, _ in rows]))
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in Q.op3_quality(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for i, text in docs.items():
+        x, margin = Q.statistics([text])[0], float(f["base"])
+        for feature, cut, leaf in zip(f["feature"], f["cut"], f["leaf"], strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + (x[feature[at]] > cut[at])
+            margin += leaf[at - len(feature)]
+        p = 1 / (1 + math.exp(-margin))
+        assert got[i] == (pytest.approx(p), int(p >= 0.3))
