@@ -2,11 +2,15 @@
 
 The base counts come from array functions within a row. For the verdict, each document's counts are
 turned into a vector (shrunk rates, so that short texts do not stand out by chance), and each
-(language, source) gets a minimum-covariance-determinant estimate by concentration steps: start
-from medians and median deviations, keep the three quarters nearest, re-estimate mean and
-covariance from these, and repeat. A document is rejected where its squared Mahalanobis distance,
-scaled by its group's median, is beyond the cutoff. A group with few rows takes its language's
-estimate, and a language with few rows that of all rows.
+(language, source) gets a minimum-covariance-determinant estimate. Three starts give a first order
+of the rows: medians and median deviations alone, and with them the covariance of the directions or
+of the squashed deviations. Concentration steps keep the three quarters nearest and re-estimate mean
+and covariance from these; after FIRST_STEPS the start of least determinant goes on, until its
+determinant falls no more. A document is rejected where its squared Mahalanobis distance, scaled by
+its group's median, is beyond the cutoff. A group with few rows takes its language's estimate, and a
+language with few rows that of all rows; these are fitted on all rows of the language, or of the table.
+
+Quantiles within a group come from its histogram, so no task has a group's rows, and reruns agree.
 
 Defined results: a null text has no words; null languages and sources are values of their own; rows
 with the same id are rows of their own; an empty table gives an empty result. Rows that fail the
@@ -24,9 +28,13 @@ from gridloom.llm.common import let, pick, small, stage, table, words
 #: Coordinates of the vector and the least standard deviation that each counts with.
 COORDS = {"word_length": 0.05, "symbols": 0.05, "dup_lines": 0.10, "repeats": 0.10, "capitals": 0.05}
 CHI2_MEDIAN = {1: 0.455, 2: 1.386, 3: 2.366, 4: 3.357, 5: 4.351, 6: 5.348}
+#: Steps of a histogram of distances in an octave, and of one of a coordinate in its least deviation.
+OCTAVE, FINE = 64, 20
 #: The 0.9999 quantile of chi-square at 5 degrees of freedom, one for each coordinate.
 CUTOFF = 25.745
-NEAREST, STEPS, LEAST_ROWS = 0.75, 4, 200
+NEAREST, FIRST_STEPS, LEAST_ROWS = 0.75, 2, 200
+#: A determinant that falls by less than this, as a logarithm, falls no more.
+STILL = 1e-4
 WINDOW = 5
 
 
@@ -80,32 +88,54 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """Adds g, the group whose estimate holds for a row: its language and source, its language, or all."""
-    cells = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    cells = cells.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "n", F.sum("n").over(Window.partitionBy("lang")).alias("n_lang"))
-    cells = stage(cells.withColumn("g", F.to_json(
-        F.when(F.col("n") >= least, F.struct(F.col("_l").alias("lang"), F.col("_s").alias("source"), F.lit(2).alias("level")))
-        .when(F.col("n_lang") >= least, F.struct(F.col("_l").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(1).alias("level")))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(0).alias("level"))))), "cells")
+    """Adds g, the group whose estimate holds for a row, and into, the groups whose estimates the row counts in.
+
+    Groups are a language and source, a language, or all; the latter two only where a row needs them.
+    """
+    def name(level: int, *values):
+        lang, source = (*values, *[F.lit(None).cast("string")] * (2 - len(values)))
+        return F.to_json(F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source")))
+
+    cells = stage(rows.groupBy(F.col("lang").alias("_l"), F.col("source").alias("_s")).agg(F.count("*").alias("n")), "cells")
+    langs = cells.groupBy("_l").agg(F.sum("n").alias("n_lang"), F.min("n").alias("n_least"))
+    few = langs.filter(F.col("n_lang") < least).limit(1).count() > 0
+    langs = langs.withColumnRenamed("_l", "_lang")
+    cells = cells.join(small(stage(langs, "langs"), 100_000), F.col("_l").eqNullSafe(F.col("_lang")))
+    own, lang, every = name(2, F.col("_l"), F.col("_s")), name(1, F.col("_l")), name(0)
+    large, spoken = F.col("n") >= least, F.col("n_lang") >= least
+    into = F.array(F.when(large, own), F.when(spoken & (F.col("n_least") < least), lang), every if few else F.lit(None).cast("string"))
+    cells = stage(cells.select("_l", "_s", F.when(large, own).when(spoken, lang).otherwise(every).alias("g"), F.array_compact(into).alias("into")), "groups")
     same = rows["lang"].eqNullSafe(F.col("_l")) & rows["source"].eqNullSafe(F.col("_s"))
-    return rows.join(small(cells.select("_l", "_s", "g"), 100_000), same).drop("_l", "_s")
+    return rows.join(small(cells, 100_000), same).drop("_l", "_s")
 
 
-def _whitening(moments: DataFrame, xs: list[str], floors: list[float]) -> DataFrame:
-    """From the sums of a subset: g, means m_i and the inverse w_ij of the covariance's Cholesky factor."""
-    d, out = len(xs), moments
-    for i in range(d):
-        out = out.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
+def quantile(rows: DataFrame, group: list[str], value: str, place: Column, share: float, name: str) -> DataFrame:
+    """group, name: the largest value of the histogram cell (by place) in which the group's quantile lies."""
+    cells = rows.groupBy(*group, place.alias("_cell")).agg(F.count("*").alias("_n"), F.max(value).alias("_top"))
+    whole, upto = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("_cell")
+    cells = cells.withColumn("_far", F.sum("_n").over(upto) >= F.sum("_n").over(whole) * share)
+    return cells.filter("_far").groupBy(*group).agg(F.min_by("_top", "_cell").alias(name))
+
+
+def _octave(d: str) -> Column:
+    return F.floor(F.log2(F.col(d) + 2.0**-20) * OCTAVE)
+
+
+def _names(d: int) -> list[str]:
+    return [*(f"m{i}" for i in range(d)), *(f"w{i}{j}" for i in range(d) for j in range(i + 1))]
+
+
+def _inverse_root(out: DataFrame, d: int, cov, least: list[float]) -> DataFrame:
+    """Adds w_ij, the inverse of the Cholesky factor of cov(i, j), and logdet; least are the least deviations."""
     for i in range(d):
         for j in range(i + 1):
-            cov = F.greatest(F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)) + F.lit(floors[i] ** 2) if i == j else F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            rest = cov - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
+            rest = cov(i, j) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(least[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
     for j in range(d):
         for i in range(j, d):
             w = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
             out = out.withColumn(f"w{i}{j}", w / F.col(f"l{i}{i}"))
-    return out.select("g", *[f"m{i}" for i in range(d)], *[f"w{i}{j}" for i in range(d) for j in range(i + 1)])
+    return out.withColumn("logdet", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(d)), F.lit(0.0)))
 
 
 def _distance(xs: list[str]) -> Column:
@@ -113,31 +143,87 @@ def _distance(xs: list[str]) -> Column:
     return sum((v * v for v in z), F.lit(0.0))
 
 
-def mcd(rows: DataFrame, coords: dict[str, float] = COORDS, nearest=NEAREST, steps=STEPS) -> DataFrame:
+def _covariance(n: str, s: str, q: str, floors: list[float]):
+    """cov(i, j) from columns of a count, sums and sums of products, with a floor on the diagonal."""
+
+    def cov(i: int, j: int) -> Column:
+        plain = F.col(f"{q}{i}{j}") / F.col(n) - F.col(f"{s}{i}") / F.col(n) * F.col(f"{s}{j}") / F.col(n)
+        return F.greatest(plain, F.lit(0.0)) + F.lit(floors[i] ** 2) if i == j else plain
+
+    return cov
+
+
+def _sums(cols: list[Column], s: str, q: str) -> list[Column]:
+    d = len(cols)
+    return [*(F.sum(c).alias(f"{s}{i}") for i, c in enumerate(cols)), *(F.sum(cols[i] * cols[j]).alias(f"{q}{i}{j}") for i in range(d) for j in range(i + 1))]
+
+
+def starts(rows: DataFrame, xs: list[str], floors: list[float], hint) -> DataFrame:
+    """g, start, m_i, w_ij: three whitenings about the medians of each group."""
+    d = len(xs)
+    long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("x"), F.lit(floors[i] / FINE).alias("step")) for i, x in enumerate(xs)])).alias("c")).select("g", "c.*")
+    mid = stage(quantile(long, ["g", "i"], "x", F.floor(F.col("x") / F.col("step")), 0.5, "mid"), "medians")
+    off = long.join(hint(mid), ["g", "i"]).withColumn("x", F.abs(F.col("x") - F.col("mid")))
+    dev = quantile(off, ["g", "i"], "x", F.floor(F.col("x") / F.col("step")), 0.5, "dev")
+    wide = mid.join(dev, ["g", "i"]).groupBy("g").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(d)],
+        *[F.max(F.when(F.col("i") == i, F.greatest(F.col("dev") * 1.4826, F.lit(floors[i])))).alias(f"a{i}") for i in range(d)],
+    )
+    wide = stage(wide, "deviations")
+    z = rows.join(hint(wide), "g").select("g", *[((F.col(x) - F.col(f"m{i}")) / F.col(f"a{i}")).alias(f"z{i}") for i, x in enumerate(xs)])
+    z = z.withColumn("r", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(d)), F.lit(1e-12))))
+    turned, squashed = [F.col(f"z{i}") / F.col("r") for i in range(d)], [F.tanh(F.col(f"z{i}")) for i in range(d)]
+    sums = stage(z.groupBy("g").agg(F.count("*").alias("n"), *_sums(turned, "s", "q"), *_sums(squashed, "t", "p")).join(wide, "g"), "moments")
+    found, ones = [], [0.05] * d
+    for k, cov in enumerate((lambda i, j: F.lit(float(i == j)), lambda i, j: F.col(f"q{i}{j}") / F.col("n") + F.lit(0.0025 * (i == j)), _covariance("n", "t", "p", ones))):
+        scaled = _inverse_root(sums, d, cov, ones).withColumns({f"w{i}{j}": F.col(f"w{i}{j}") / F.col(f"a{j}") for i in range(d) for j in range(i + 1)})
+        found.append(scaled.select("g", F.lit(k).alias("start"), *_names(d)))
+    return stage(found[0].unionByName(found[1]).unionByName(found[2]), "starts")
+
+
+def concentrated(rows: DataFrame, fit: DataFrame, xs: list[str], floors: list[float], nearest: float, hint) -> DataFrame:
+    """One step: g, start, m_i, w_ij and logdet from the rows nearest to each estimate in fit."""
+    d, key = len(xs), ["g", "start"]
+    far = rows.join(hint(fit), "g").select(*key, _distance(xs).alias("d"))
+    limit = stage(fit.drop("logdet").join(quantile(far, key, "d", _octave("d"), nearest, "limit"), key), "limits")
+    near = rows.join(hint(limit), "g").filter(_distance(xs) <= F.col("limit"))
+    sums = near.groupBy(*key).agg(F.count("*").alias("n"), *_sums([F.col(x) for x in xs], "s", "q"))
+    out = _inverse_root(sums, d, _covariance("n", "s", "q", floors), floors).withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(d)})
+    return stage(out.select(*key, *_names(d), "logdet"), "fit")
+
+
+def mcd(rows: DataFrame, coords: dict[str, float] = COORDS, nearest=NEAREST) -> DataFrame:
     """g, m_i, w_ij and scale: an estimate for each group of rows, which have g and the coordinates."""
     xs, floors = list(coords), list(coords.values())
-    d = len(xs)
-    half = lambda x, p=0.5: F.percentile_approx(x, F.lit(p), F.lit(2000))
-    mid = stage(rows.groupBy("g").agg(*[half(x).alias(f"m{i}") for i, x in enumerate(xs)]), "medians")
-    dev = rows.join(small(mid, 100_000), "g").groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(d)], *[half(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"a{i}") for i, x in enumerate(xs)])
-    fit = stage(dev.select("g", *[f"m{i}" for i in range(d)], *[
-        (1 / F.greatest(F.col(f"a{i}") * 1.4826, F.lit(floors[i])) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(d) for j in range(i + 1)]), "start")
-    for _ in range(steps):
-        far = rows.join(small(fit, 100_000), "g").withColumn("d", _distance(xs)).select("g", "d", *xs)
-        limit = stage(far.groupBy("g").agg(half("d", nearest).alias("limit")), "limits")
-        kept = far.join(small(limit, 100_000), "g").filter("d <= limit")
-        sums = kept.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"q{i}{j}") for i in range(d) for j in range(i + 1)])
-        fit = stage(_whitening(sums, xs, floors), "fit")
-    scale = rows.join(small(fit, 100_000), "g").withColumn("d", _distance(xs)).groupBy("g").agg((half("d") / CHI2_MEDIAN[d]).alias("scale"))
-    return stage(fit.join(scale, "g"), "estimates")
+    n_groups = rows.select("g").distinct().count()
+    hint = F.broadcast if n_groups <= 10_000 else lambda df: df  # a few numbers for each group
+    fit = starts(rows, xs, floors, hint)
+    for _ in range(FIRST_STEPS):
+        fit = concentrated(rows, fit, xs, floors, nearest, hint)
+    best = Window.partitionBy("g").orderBy("logdet", "start")
+    going = fit.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
+    done = []
+    while True:
+        after = concentrated(rows, stage(going, "going"), xs, floors, nearest, hint)
+        both = going.join(after.select("g", F.col("logdet").alias("_after")), "g")
+        done.append(stage(both.filter(F.col("_after") >= F.col("logdet") - STILL).drop("_after"), "still"))
+        going = stage(after.join(both.filter(F.col("_after") < F.col("logdet") - STILL).select("g"), "g"), "falling")
+        if going.isEmpty():
+            break
+    fit = done[0]
+    for more in done[1:]:
+        fit = fit.unionByName(more)
+    far = rows.join(hint(fit), "g").select("g", _distance(xs).alias("d"))
+    scale = quantile(far, ["g"], "d", _octave("d"), 0.5, "scale").withColumn("scale", F.col("scale") / CHI2_MEDIAN[len(xs)])
+    return stage(fit.drop("start", "logdet").join(scale, "g"), "estimates")
 
 
 def verdicts(docs: DataFrame, coords: dict[str, float] = COORDS, least=LEAST_ROWS, cutoff=CUTOFF) -> DataFrame:
     """The counts of each document with distance (null where base_failed) and kept."""
     rows = stage(counts(docs), "counts")
-    good = stage(grouped(vectors(rows.filter(~F.col("base_failed"))), least).select("_row", "g", *coords), "vectors")
-    fit = mcd(good, coords)
-    far = good.join(small(fit, 100_000), "g").select("_row", (_distance(list(coords)) / F.greatest("scale", F.lit(1.0))).alias("distance"))
+    good = stage(grouped(vectors(rows.filter(~F.col("base_failed"))), least).select("_row", "g", "into", *coords), "vectors")
+    fit = mcd(good.select(F.explode("into").alias("g"), *coords), coords)
+    far = good.join(small(fit, 10_000), "g").select("_row", (_distance(list(coords)) / F.greatest("scale", F.lit(1.0))).alias("distance"))
     return rows.join(far, "_row", "left").withColumn("kept", F.coalesce(~F.col("base_failed") & (F.col("distance") <= cutoff), F.lit(False)))
 
 
