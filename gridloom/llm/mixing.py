@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, masked, pick, running_sum, stage, table, words
+from gridloom.llm.common import WORD, masked, pick, running_sum, small, stage, table, words
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_EPOCHS = 1.5, 2
@@ -74,14 +74,18 @@ def schedule(sources: DataFrame, n_slots: int, total: float) -> DataFrame:
     return running_sum(placed, ["source_id"], "chunk", ["slot"], F.lit(1), "rank").select("slot", "source_id", "rank")
 
 
+def _text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
     """The documents with their size and their source's target, and what the mix takes of them.
 
-    First: _row, doc_id, source, size, source_size, target. Second: _row, slot, epoch, first and
+    First: _row, doc_id, source, text_hash, size, source_size, target. Second: _row, slot, epoch, first and
     n_words, a range of the document's words per slot.
     """
     spark = docs.sparkSession
-    sizes = stage(pick(docs, "doc_id", "source", "text").select("_row", "doc_id", "source", F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("size")), "sizes")
+    sizes = stage(pick(docs, "doc_id", "source", "text").select("_row", "doc_id", "source", _text_hash(F.col("text")).alias("text_hash"), F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("size")), "sizes")
     sources = stage(source_targets(sizes, weights, share, max_epochs), "sources")
     total, least = sources.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
     total = total or 0.0
@@ -97,7 +101,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) ->
         .withColumn("key", key).withColumn("chunk", F.floor(F.col("key") / F.lit(float(1 << 48)) * F.ceil(F.col("n_docs") / CHUNK)))
     )
     lined = running_sum(lined, ["source_id"], "chunk", ["key", "doc_id", "size", "_row"], F.col("size"), "start")
-    lined = stage(lined.select("_row", "doc_id", "source", "size", "source_size", "target", "source_id", "start"), "lines")
+    lined = stage(lined.select("_row", "doc_id", "source", "text_hash", "size", "source_size", "target", "source_id", "start"), "lines")
     pieces = (
         lined.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
         .withColumn("from", F.greatest(F.col("start"), F.col("block") * block))
@@ -128,24 +132,35 @@ def _up_to_target(pieces: DataFrame, n_slots: int, max_epochs: int) -> DataFrame
     )
 
 
+def first_words(text, first, n):
+    """n words of text after the first so many, with the white space between them as it is."""
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    gaps = F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]+"), F.lit(0)), (first + lead + 1).cast("int"), (n - 1).cast("int"))
+    own = F.slice(words(text), (first + 1).cast("int"), n.cast("int"))
+    return F.array_join(F.zip_with(own, gaps, lambda word, gap: F.concat(word, F.coalesce(gap, F.lit("")))), "")
+
+
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:
     """docs as the mix takes them: a row per document and epoch, with all columns of docs.
 
     A document of which an epoch takes a part only, at the end of a source's line of blocks, has
-    those words, joined by single spaces; its other columns stay. Rows alike in id, source and size
-    are taken alike.
+    those words, and the white space between them; its other columns stay. Where rows are alike in
+    id, source and text, each that is taken has the other columns of one of them.
     """
     sized, taken = mix(docs, weights, share, max_epochs)
-    parts = taken.groupBy("_row", "epoch").agg(F.min("first").alias("first"), F.sum("n_words").alias("n_words"))
-    parts = sized.join(parts, "_row").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_of"), F.col("epoch").alias("_epoch"), F.col("first").alias("_first"), F.col("n_words").alias("_n"))
-    parts = parts.groupBy("_id", "_source", "_of", "_epoch").agg(F.max_by("_first", "_n").alias("_first"), F.max("_n").alias("_n"))
+    parts = taken.groupBy("_row", "epoch").agg(F.min("first").alias("_first"), F.sum("n_words").alias("_n"))
+    parts = sized.join(parts, "_row").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_of"), F.col("size").alias("_size"), "_first", "_n")
     own, at, back = masked(docs)
     text = F.col(at["text"]).cast("string")
-    marked = own.withColumn("_size", F.coalesce(F.size(words(text)), F.lit(0)).cast("long"))
-    same = F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & F.col(at["source"]).cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_of"))
-    part = F.array_join(F.slice(words(text), (F.col("_first") + 1).cast("int"), F.col("_n").cast("int")), " ")
-    cut = F.when(F.col("_n") == F.col("_size"), text).otherwise(part)
+    marked = own.withColumn("_hash", _text_hash(text))
+    alike = sized.filter("size > 0").groupBy("doc_id", "source", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    alike = stage(alike.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_of")), "alike")
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & F.col(at["source"]).cast("string").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_of"))
+    if not alike.isEmpty():
+        alike = small(alike, 200_000)
+        one = marked.join(alike, same, "left_semi").dropDuplicates([at["doc_id"], at["source"], "_hash"])
+        marked = marked.join(alike, same, "left_anti").unionByName(one)
+    cut = F.when(F.col("_n") == F.col("_size"), text).otherwise(first_words(text, F.col("_first"), F.col("_n")))
     return marked.join(parts, same).withColumn(at["text"], cut).select(*back)
 
 
@@ -155,7 +170,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.join(sums, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-OP10_SQL = rf"""
+def op10_sql(slots_least: int = SLOTS_LEAST, slots_most: int = SLOTS_MOST) -> str:
+    return rf"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
@@ -172,8 +188,9 @@ s7 AS (SELECT *, max(CASE WHEN rank = turn THEN level END) OVER () AS lev FROM s
 sources AS (SELECT source, source_id, source_size,
          CASE WHEN rank < turn THEN CAST(most AS DOUBLE) ELSE lev * weight END AS target FROM s7),
 plan AS (SELECT sum(target) AS total, min(CASE WHEN target > 0 THEN target END) AS least FROM sources),
-plan2 AS (SELECT total, CAST(greatest(1, ceil(total / least_n)) AS BIGINT) AS block
-          FROM (SELECT total, least({SLOTS_MOST}, ceil(total * {SLOTS_LEAST} / least)) AS least_n FROM plan)),
+plan1 AS (SELECT total, ceil(total * {slots_least} / least) AS wanted FROM plan),
+plan2 AS (SELECT total, block, CASE WHEN block > greatest(1, ceil(total / wanted)) THEN {slots_least} * block ELSE 0 END AS least_by_slots
+          FROM (SELECT total, wanted, CAST(greatest(1, ceil(total / least({slots_most}, wanted))) AS BIGINT) AS block FROM plan1)),
 spans AS (SELECT source_id, source_size, hi, coalesce(lag(hi) OVER (ORDER BY source_id), 0) AS lo FROM (
          SELECT source_id, source_size, CASE WHEN row_number() OVER (ORDER BY source_id DESC) = 1 THEN 2e0
            ELSE sum(target) OVER (ORDER BY source_id ROWS UNBOUNDED PRECEDING) / total END AS hi
@@ -185,7 +202,11 @@ ends AS (SELECT t.source_id, block, CAST(ceil(CAST(t.source_size AS DOUBLE) / bl
 docs AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.source_id,
          CAST(sum(d.size) OVER (PARTITION BY s.source_id ORDER BY ('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 12))::BIGINT, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS first
          FROM sizes d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, d.source_size, target,
-       CAST(coalesce((n // nb) * size + greatest(0, least(first + size, (n % nb) * block) - first), 0) AS BIGINT) AS taken
+SELECT doc_id, size, d.source_size, target, CASE WHEN target < (SELECT least_by_slots FROM plan2)
+       THEN CAST(greatest(0, least(size, round(target) - first)) + greatest(0, least(size, round(target) - d.source_size - first)) AS BIGINT)
+       ELSE CAST(coalesce((n // nb) * size + greatest(0, least(first + size, (n % nb) * block) - first), 0) AS BIGINT) END AS taken
 FROM docs d LEFT JOIN ends e ON d.source_id = e.source_id
 """
+
+
+OP10_SQL = op10_sql()
