@@ -37,7 +37,7 @@ ORDER, BLOCK, RANGE = 2, 1_000_000, 1_500_000
 #: One in DELETED training documents is in the deleted part.
 DELETED, BUCKETS, ROUNDS = 20, 16, 200
 END, BEGIN = np.uint64(0xE7D0_0000_0000_0001), np.uint64(0xB361_0000_0000_0001)
-NONE = 255  # quantised estimate of 0
+NONE, UNSEEN = 255, 254  # quantised estimate of 0, and of a context that training lacks
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -131,11 +131,12 @@ def _requests(order: int, n_ranges: int):
                 for k, keys in enumerate(grams(tokens, ends, order), 1):
                     found, code = distinct(keys)
                     times = np.bincount(code[train], minlength=len(found)).astype("<u8")
-                    at = np.searchsorted(range_of(found, n_ranges), np.arange(n_ranges + 1))
-                    full = np.flatnonzero(np.diff(at))
+                    ranges = range_of(found, n_ranges)
+                    at = np.flatnonzero(np.diff(ranges, prepend=-1))  # where each range that occurs begins
+                    ends_at = np.append(at[1:], len(found))
                     yield pa.RecordBatch.from_pydict({
-                        "part": pa.array(full * (order + 1) + k, pa.int64()), "block": pa.array([block["block"]] * len(full), pa.int64()), "deleted": pa.array([block["deleted"]] * len(full)),
-                        "n": pa.array(np.diff(at)[full], pa.int64()), "keys": [pack(found[at[r] : at[r + 1]]) for r in full], "times": [pack(times[at[r] : at[r + 1]]) for r in full],
+                        "part": pa.array(ranges[at] * (order + 1) + k, pa.int64()), "block": pa.array([block["block"]] * len(at), pa.int64()), "deleted": pa.array([block["deleted"]] * len(at)),
+                        "n": pa.array(ends_at - at, pa.int64()), "keys": [pack(found[a:b]) for a, b in zip(at, ends_at, strict=True)], "times": [pack(times[a:b]) for a, b in zip(at, ends_at, strict=True)],
                     })
 
     return ask
@@ -182,11 +183,11 @@ def _counts(replies: list[dict], name: str, keys: list[np.ndarray], ends: np.nda
     return count, context
 
 
-def _estimates(count, context, total: float) -> list[np.ndarray]:
-    out = [count[0] / total if total else np.zeros(len(count[0]))]
-    for c, b in zip(count[1:], context[1:], strict=True):
-        out.append(np.divide(c, b, out=np.zeros(len(c)), where=b > 0))
-    return out
+def _estimates(count, context, total: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per n: the estimate at each token, and whether there is one (its context occurs in training)."""
+    every = [np.full(len(count[0]), total), *context[1:]]
+    there = [b > 0 for b in every]
+    return [np.divide(c, b, out=np.zeros(len(c)), where=t) for c, b, t in zip(count, every, there, strict=True)], there
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -200,8 +201,8 @@ def _histogram(order: int, total: float, n_docs: float):
         tokens, ends, _ = _open(blocks.to_pylist()[0])
         counts, context = _counts(replies.to_pylist(), "rest", grams(tokens, ends, order), ends, order, n_docs)
         cell = bucket(context[-1] if order > 1 else np.zeros(len(tokens)))
-        for p in _estimates(counts, context, total):
-            q = np.where(p > 0, np.clip(np.rint(-4 * np.log2(np.maximum(p, 1e-300))), 0, NONE - 1), NONE).astype(np.int64)
+        for p, there in zip(*_estimates(counts, context, total), strict=True):
+            q = np.where(p > 0, np.clip(np.rint(-4 * np.log2(np.maximum(p, 1e-300))), 0, UNSEEN - 1), np.where(there, NONE, UNSEEN)).astype(np.int64)
             cell = cell << 8 | q
         found, n = np.unique(cell, return_counts=True)
         return pa.table({"cell": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64())})
@@ -210,21 +211,31 @@ def _histogram(order: int, total: float, n_docs: float):
 
 
 def mixture(cells: np.ndarray, times: np.ndarray, order: int, uniform: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (bucket; uniform, then n = 1 .. order) by expectation-maximisation on the histogram."""
+    """Weights (bucket; uniform, then n = 1 .. order) by expectation-maximisation on the histogram.
+
+    Where a context is unseen, its estimate takes no part and the others share its weight; the
+    expectation then counts it as often as its weight says it would have been drawn and put back.
+    """
     q = np.stack([cells >> 8 * (order - 1 - k) & 255 for k in range(order)], 1)
-    p = np.concatenate([np.full((len(cells), 1), uniform), np.where(q == NONE, 0.0, 2.0 ** (-q / 4))], 1)
+    p = np.concatenate([np.full((len(cells), 1), uniform), np.where(q >= UNSEEN, 0.0, 2.0 ** (-q / 4))], 1)
+    gone = np.concatenate([np.zeros((len(cells), 1), bool), q == UNSEEN], 1)
     b = cells >> 8 * order
+
+    def step(w, mine, prior):
+        r = p[mine] * w
+        r = r / r.sum(1, keepdims=True) + gone[mine] * w / (~gone[mine] * w).sum(1, keepdims=True)
+        drawn = (r * times[mine][:, None]).sum(0) + prior
+        return drawn / drawn.sum()
+
     every = np.full(order + 1, 1 / (order + 1))
     weights = np.empty((BUCKETS, order + 1))
     # First over all buckets; what this gives is the prior (of weight 10) of each bucket.
     for _ in range(rounds if len(cells) else 0):
-        r = p * every
-        every = ((r / r.sum(1, keepdims=True) * times[:, None]).sum(0) + 1e-3) / (times.sum() + 1e-3 * (order + 1))
+        every = step(every, slice(None), 1e-3)
     for k in range(BUCKETS):
         mine, w = b == k, every
         for _ in range(rounds if mine.any() else 0):
-            r = p[mine] * w
-            w = ((r / r.sum(1, keepdims=True) * times[mine][:, None]).sum(0) + 10 * every) / (times[mine].sum() + 10)
+            w = step(w, mine, 10 * every)
         weights[k] = w
     return weights
 
@@ -235,9 +246,10 @@ def _score(order: int, total: float, n_docs: float, n_distinct: int, weights: np
         tokens, ends, _ = _open(block)
         counts, context = _counts(replies.to_pylist(), "every", grams(tokens, ends, order), ends, order, n_docs)
         w = weights[bucket(context[-1] if order > 1 else np.zeros(len(tokens)))]
-        p = w[:, 0] / (n_distinct + 1)
-        for k, e in enumerate(_estimates(counts, context, total), 1):
-            p = p + w[:, k] * e
+        p, shared = w[:, 0] / (n_distinct + 1), w[:, 0]
+        for k, (e, there) in enumerate(zip(*_estimates(counts, context, total), strict=True), 1):
+            p, shared = p + w[:, k] * e, shared + w[:, k] * there
+        p = p / shared
         base = np.log10((counts[0] + 0.5) / (total + 0.5 * (n_distinct + 1)))
         score, base, known = (np.add.reduceat(x, ends[:-1]) for x in (np.log10(p), base, (counts[0] > 0).astype(np.int64)))
         ids = blocks.column("ids").combine_chunks().flatten()

@@ -108,14 +108,19 @@ def model(docs, train, deleted):
     seen = np.array([e for i in deleted for e in walk(i, rest)]).reshape(-1, 3)
     p = np.column_stack([np.full(len(seen), 1 / (size + 1)), seen[:, 1:]])
 
-    def em(p, w, weight, prior):
+    there = np.column_stack([np.ones((len(seen), 2)), seen[:, 0] > 0])  # no bigram estimate after an unseen word
+
+    def em(mine, w, weight, prior):
         for _ in range(200):
-            r = p * w
-            w = ((r / r.sum(1, keepdims=True)).sum(0) + weight * prior) / (len(p) + weight * prior.sum())
+            r = p[mine] * w
+            r = r / r.sum(1, keepdims=True) + (1 - there[mine]) * w / (there[mine] * w).sum(1, keepdims=True)
+            w = r.sum(0) + weight * prior
+            w = w / w.sum()
         return w
 
-    shared = em(p, np.full(3, 1 / 3), 1e-3, np.ones(3)) if len(p) else np.full(3, 1 / 3)
-    mix = [em(p[seen[:, 0] == k], shared, 10, shared) if (seen[:, 0] == k).any() else shared for k in range(16)]
+    shared = em(slice(None), np.full(3, 1 / 3), 1e-3, np.ones(3)) if len(p) else np.full(3, 1 / 3)
+    mix = [em(seen[:, 0] == k, shared, 10, shared) if (seen[:, 0] == k).any() else shared for k in range(16)]
+    mix[0] = mix[0] * [1, 1, 0] / mix[0][:2].sum()
     total = sum(uni.values())
     out = {}
     for i, own in tokens.items():
@@ -144,6 +149,33 @@ def test_language_model_against_scratch(spark, small_docs, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_the_mixture_sums_to_one(order):
+    """Over all words after a context, seen in training or not."""
+    rng = np.random.default_rng(order)
+    size, tokens = 50, rng.zipf(1.5, 4000) % 50
+    h = tokens.astype(np.uint64)
+    ends = np.array([0, len(h)])
+    uni, total = Counter(tokens.tolist()), len(tokens)
+    grams = [Counter(zip(*(tokens[i:].tolist() for i in range(k)))) for k in range(1, order + 1)]
+    weights = M.mixture(np.array([(k << 8 * order) + 0x050505 % (1 << 8 * order) for k in range(5)]), np.full(5, 40.0), order, 1 / size)
+    assert len(h) == ends[-1] and np.allclose(weights.sum(1), 1)
+    for before in [(1, 2), (49, 48), (3, 49)]:
+        sums = 0.0
+        count = [np.array([float(uni.get(x, 0)) for x in range(size)])]
+        context = [np.zeros(size)]
+        for k in range(2, order + 1):
+            own = before[-(k - 1) :]
+            count.append(np.array([float(grams[k - 1].get((*own, x), 0)) for x in range(size)]))
+            context.append(np.full(size, count[-1].sum()))
+        w = weights[M.bucket(context[-1])]
+        p, shared = w[:, 0] / size, w[:, 0]
+        for k, (e, there) in enumerate(zip(*M._estimates(count, context, float(total)), strict=True), 1):
+            p, shared = p + w[:, k] * e, shared + w[:, k] * there
+        sums = (p / shared).sum()
+        assert sums == pytest.approx(1)
+
+
 def test_language_model_messy(spark, messy):
     rows = M.lm_scores(messy, F.col("doc_id") != 11, F.col("doc_id") == 2).collect()
     assert len(rows) == messy.count() and all(r["score"] < 0 for r in rows)
