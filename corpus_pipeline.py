@@ -4,6 +4,12 @@ Each stage takes what its predecessor kept, written as Parquet and read again. A
 return the columns of documents: the quality classifier drops documents, exact and near
 deduplication leave one of each group, and mixing repeats, cuts or leaves out documents as its
 schedule says. The last returns a row per piece of a document with its place in a sequence.
+
+Defined results: null and empty texts are scored like others, the exact and the near deduplication
+leave one of them (the latter links them with nothing), and mixing takes none, so none is packed.
+Null languages, sources and ids are values of their own; of rows that repeat an id or a text one
+stays. Columns beside those of documents pass through up to the packing, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import exact_dedup, mixing, near_dedup, packing, quality
-from gridloom.llm.common import stage, table
+from gridloom.llm.common import staged_alone, table, unstage
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +49,16 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The classifier, the near-duplicates and the packing are beyond SQL; tests hold run() against brute force.
+#: The classifier, the near-duplicates and the packing are beyond SQL; a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other over documents; what a stage has written goes once the next is written."""
+    docs, written = table(spark, sf_dir, "documents"), []
     for k, (_, apply) in enumerate(STAGES):
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{k}")
+        given = docs
+        docs = staged_alone(lambda apply=apply, given=given: apply(spark, given, sf_dir), f"pipeline-{k}")
+        unstage(*written)
+        written = [docs]
     return docs

@@ -70,7 +70,7 @@ def test_hot_texts_of_earlier_batches_are_chosen_once(spark, monkeypatch):
     assert sorted((r["doc_id"], r["keep_id"], r["n_rows"], r["kept"]) for r in found.collect()) == want
 
 
-def brute(docs):
+def brute(docs, similarity=85):
     sets = {}
     for i, t in docs:
         w = (t or "").encode().lower().split()
@@ -88,7 +88,7 @@ def brute(docs):
             where.setdefault(x, []).append(i)
     for i, s in sets.items():
         for j, n in Counter(j for x in s for j in where[x] if j > i).items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= similarity * (len(s) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets.items()}
