@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import small, written
+
 EPSILON = 1e-8
 
 
@@ -107,5 +109,5 @@ def standardise(df: DataFrame, v: str, out: str = "z", by: list[str] | None = No
     dims = df.select(*by, F.posexplode(doubles(F.col(v)))).groupBy(*by, "pos").agg(F.avg("col").alias("mean"), F.stddev_pop("col").alias("std"))
     dims = dims.withColumn("std", F.when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1.0)))
     fit = dims.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("_fit"))
-    joined = df.join(F.broadcast(fit), by) if by else df.crossJoin(F.broadcast(fit))  # one row, as wide as a vector
+    joined = df.join(small(written(fit, "scalers")), by) if by else df.crossJoin(F.broadcast(fit))  # one row, as wide as a vector
     return joined.withColumn(out, F.zip_with(doubles(F.col(v)), F.col("_fit"), lambda x, f: (x - f["mean"]) / f["std"])).drop("_fit")

@@ -76,7 +76,8 @@ def best_match(cells: DataFrame) -> DataFrame:
 def label_histogram(df: DataFrame, label: str) -> DataFrame:
     """label, n for 0 .. the largest label, those that do not occur with 0."""
     counts = df.groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n"))
-    every = counts.agg(F.explode(F.sequence(F.lit(0), F.max("label"))).alias("label"))
+    most = counts.agg(F.max("label")).first()[0]  # one number; the labels themselves are made where they are joined
+    every = df.sparkSession.range(0 if most is None else most + 1).select(F.col("id").cast("int").alias("label"))
     return every.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -124,11 +125,12 @@ def size_balance(points: DataFrame, label: str) -> DataFrame:
     return out.select("k", "min_size", "max_size", (F.col("max_size") / F.col("min_size")).alias("size_ratio"), (F.col("s") / F.col("m")).alias("size_cv"))
 
 
-def center_separation(points: DataFrame, label: str) -> DataFrame:
-    """One row: least and mean distance of cluster centres, and most by least. A pair of clusters is a row."""
-    c = points.groupBy(label).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    a, b = c.select(F.col(label).alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay")), c.select(F.col(label).alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = a.join(F.broadcast(b), F.col("i") < F.col("j")).select(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("d"))
+def center_separation(points: DataFrame, label: str, v: str = "v") -> DataFrame:
+    """One row: least and mean distance of the clusters' mean vectors, and most by least. A pair of clusters and a dimension is a row."""
+    c = points.select(F.col(label).alias("_c"), F.posexplode(doubles(F.col(v))).alias("pos", "_x")).groupBy("_c", "pos").agg(F.avg("_x").alias("m"))
+    other = c.select(F.col("_c").alias("_d"), "pos", F.col("m").alias("m2"))
+    pairs = c.join(other, "pos").filter(F.col("_c") < F.col("_d"))
+    d = pairs.groupBy("_c", "_d").agg(F.sqrt(F.sum((F.col("m") - F.col("m2")) * (F.col("m") - F.col("m2")))).alias("d"))
     return d.agg(F.min("d").alias("min_separation"), F.avg("d").alias("mean_separation"), (F.max("d") / F.nullif(F.min("d"), F.lit(0.0))).alias("separation_ratio"))
 
 

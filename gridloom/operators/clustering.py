@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import doubles, standardise
 from gridloom.operators.aggregates import center_separation, size_balance
+from gridloom.session import small, written
 
 BLOCK = 2048
 
@@ -24,13 +27,88 @@ def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def kmeans(df: DataFrame, v: str, k: int, seed: int = 42, restarts: int = 1, scale: bool = True, out: str = "cluster", max_iter: int = 50) -> DataFrame:
-    """df with its cluster by k-means on standardised vectors; of several restarts the one of least cost."""
+@dataclass
+class ClusterModel:
+    """Cluster centres of scaled vectors, with the scaler: what new vectors need to find their cluster."""
+
+    mean: list[float]
+    std: list[float]
+    centers: list[list[float]]
+    counts: list[float] = field(default_factory=list)
+
+    def assign(self, df: DataFrame, v: str, out: str = "cluster") -> DataFrame:
+        """df with the nearest centre of each vector; ties go to the lowest."""
+        lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])  # noqa: E731  a number per dimension, or per centre and dimension
+        scaled = F.zip_with(doubles(F.col(v)), F.arrays_zip(lit(self.mean).alias("m"), lit(self.std).alias("s")), lambda x, f: (x - f["m"]) / f["s"])
+        listed = F.array(*[F.struct(F.lit(c).alias("c"), lit(x).alias("center")) for c, x in enumerate(self.centers)])
+        near = F.array_min(F.transform(listed, lambda t: F.struct(_squared(F.col("_z"), t["center"]).alias("d"), t["c"].alias("c"))))["c"]
+        return df.withColumn("_z", scaled).withColumn(out, near).drop("_z")
+
+    def partial_fit(self, batch: DataFrame, v: str) -> ClusterModel:
+        """The model after one more mini-batch: each centre moves to the mean of all vectors it has been given.
+
+        One aggregate over the batch; a number per centre and dimension comes to the driver.
+        """
+        dims = self.assign(batch, v, "_c").select("_c", F.posexplode(doubles(F.col(v))).alias("pos", "x"))
+        counts, centers = list(self.counts) or [0.0] * len(self.centers), list(self.centers)
+        found: dict[int, dict[int, tuple[int, float]]] = {}
+        for r in dims.groupBy("_c", "pos").agg(F.count("*").alias("n"), F.sum("x").alias("s")).collect():
+            found.setdefault(r["_c"], {})[r["pos"]] = (r["n"], r["s"])
+        for c, sums in found.items():
+            n, more = counts[c], sums[0][0]
+            centers[c] = [(x * n + (sums[d][1] - more * self.mean[d]) / self.std[d]) / (n + more) for d, x in enumerate(centers[c])]
+            counts[c] = n + more
+        return ClusterModel(self.mean, self.std, centers, counts)
+
+    def save(self, spark, path: str) -> None:
+        text = json.dumps({"mean": self.mean, "std": self.std, "centers": self.centers, "counts": self.counts})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark, path: str) -> ClusterModel:
+        return ClusterModel(**json.loads(spark.read.text(path).first()[0]))
+
+
+def scaler(df: DataFrame, v: str) -> tuple[list[float], list[float]]:
+    """Mean and population deviation of each dimension, 1 for constant ones."""
+    dims = df.select(F.posexplode(doubles(F.col(v)))).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s")).orderBy("pos").collect()
+    return [r["m"] for r in dims], [r["s"] if r["s"] > 0 else 1.0 for r in dims]
+
+
+def kmeans_model(df: DataFrame, v: str, k: int, seed: int = 42, restarts: int = 1, scale: bool = True, max_iter: int = 50) -> ClusterModel:
+    """The model of k-means on standardised vectors; of several restarts the one of least cost."""
+    mean, std = scaler(df, v)
+    if not scale:
+        mean, std = [0.0] * len(mean), [1.0] * len(std)
     rows = standardise(df, v, "_z") if scale else df.withColumn("_z", doubles(F.col(v)))
-    rows = rows.withColumn("_f", array_to_vector("_z")).persist()
-    fits = [KMeans(k=k, seed=seed + r, featuresCol="_f", predictionCol=out, maxIter=max_iter).fit(rows) for r in range(restarts)]
+    rows = rows.select(array_to_vector("_z").alias("_f")).persist()
+    fits = [KMeans(k=k, seed=seed + r, featuresCol="_f", maxIter=max_iter).fit(rows) for r in range(restarts)]
+    rows.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("_f", "_z")
+    return ClusterModel(mean, std, [c.tolist() for c in best.clusterCenters()], [float(n) for n in best.summary.clusterSizes])
+
+
+def kmeans(df: DataFrame, v: str, k: int, seed: int = 42, restarts: int = 1, scale: bool = True, out: str = "cluster", max_iter: int = 50) -> DataFrame:
+    """df with its cluster by kmeans_model()."""
+    return kmeans_model(df, v, k, seed, restarts, scale, max_iter).assign(df, v, out)
+
+
+def minibatch_kmeans(df: DataFrame, v: str, k: int, batches: int = 10, key: str = "id", scale: bool = True, start: ClusterModel | None = None) -> ClusterModel:
+    """One pass of mini-batches (key modulo batches, written apart once), from the k vectors of lowest key.
+
+    Each batch is a distributed aggregate, and only the centres go from batch to batch;
+    gridloom.streaming.batches.cluster_stream() does the same with arriving data.
+    """
+    if start is None:
+        mean, std = scaler(df, v)
+        if not scale:
+            mean, std = [0.0] * len(mean), [1.0] * len(std)
+        first = [r[0] for r in df.orderBy(key).limit(k).select(doubles(F.col(v))).collect()]
+        start = ClusterModel(mean, std, [[(x - m) / s for x, m, s in zip(c, mean, std, strict=True)] for c in first], [0.0] * len(first))
+    dealt = written(df.select(F.col(v).alias("_v"), F.pmod(F.col(key), F.lit(batches)).cast("int").alias("_batch")).repartition("_batch"), "batches")
+    for b in range(batches):
+        start = start.partial_fit(dealt.filter(F.col("_batch") == b), "_v")
+    return start
 
 
 def lloyd(df: DataFrame, v: str, k: int, rounds: int = 1, key: str = "id", out: str = "cluster") -> DataFrame:
@@ -78,15 +156,20 @@ def compare_labelings(df: DataFrame, key: str, v: str, old: str, new: str) -> Da
     return both.select("ari", "nmi", *[(F.col(f"{new}_{f}") - F.col(f"{old}_{f}")).alias(f"{f}_gain") for f in figures])
 
 
+def _to(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of points by centres, without an array of points by centres by dimensions."""
+    return np.stack([((x - c) ** 2).sum(1) for c in centers], 1)
+
+
 def _numpy_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centers = x[[rng.integers(len(x))]]
     while len(centers) < k:  # k-means++
-        d = ((x[:, None] - centers[None]) ** 2).sum(2).min(1)
+        d = np.minimum(d, _to(x, centers[-1:])[:, 0]) if len(centers) > 1 else _to(x, centers)[:, 0]
         centers = np.vstack([centers, x[rng.choice(len(x), p=d / d.sum()) if d.sum() else rng.integers(len(x))]])
     labels = np.zeros(len(x), int)
     for _ in range(rounds):
-        new = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+        new = _to(x, centers).argmin(1)
         if (new == labels).all() and _:
             break
         labels = new
@@ -176,10 +259,10 @@ def silhouette(df: DataFrame, key: str, v: str, label: str) -> DataFrame:
     """
     rows = df.select(F.col(key).cast("bigint"), F.col(label).cast("bigint"), doubles(F.col(v)))
     blocks = rows.mapInArrow(_blocks, "ids array<bigint>, labels array<bigint>, data binary")
-    blocks = blocks.withColumn("block", F.monotonically_increasing_id()).persist()
-    names = [r["block"] for r in blocks.select("block").collect()]  # one number per block
+    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     other = blocks.select(F.col("block").alias("t_block"), F.col("labels").alias("t_labels"), F.col("data").alias("t_data"))
-    every = blocks.withColumn("t_block", F.explode(F.array(*[F.lit(b) for b in names]))) if names else blocks.withColumn("t_block", F.col("block"))
+    names = blocks.agg(F.collect_list("block").alias("_names"))  # one row, a number per block
+    every = blocks.crossJoin(F.broadcast(names)).withColumn("t_block", F.explode("_names")).drop("_names")
     sums = every.join(other, "t_block").mapInArrow(_distance_sums, "id bigint, label bigint, other bigint, total double, n bigint")
     per = sums.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own = F.col("other") == F.col("label")
@@ -190,6 +273,19 @@ def silhouette(df: DataFrame, key: str, v: str, label: str) -> DataFrame:
     return s.withColumn("silhouette", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0)))
 
 
+def simplified_silhouette(df: DataFrame, key: str, v: str, label: str) -> DataFrame:
+    """id, label, a, b, silhouette with the distance to a cluster's mean in place of the mean distance to its points.
+
+    Linear in the points, for tables where the exact one is too much; clusters by points are compared.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(label).cast("bigint").alias("label"), doubles(F.col(v)).alias("_v"))
+    dims = rows.select("label", F.posexplode("_v")).groupBy("label", "pos").agg(F.avg("col").alias("m"))
+    centers = dims.groupBy(F.col("label").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("center"))
+    d = rows.crossJoin(small(written(centers, "centers"))).select("id", "label", "c", F.sqrt(_squared(F.col("_v"), F.col("center"))).alias("d"))  # a row per cluster
+    s = d.groupBy("id", "label").agg(F.max(F.when(F.col("c") == F.col("label"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("label"), F.col("d"))).alias("b"))
+    return s.withColumn("silhouette", F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+
+
 def pair_distances(points: DataFrame, label: str, key: str = "id") -> DataFrame:
     """label, mean_distance of the pairs within each cluster of two or more; in blocks, as silhouette() has them."""
     own = silhouette(points.withColumn("_xy", F.array("x", "y")), key, "_xy", label).filter(F.col("a").isNotNull())
@@ -221,9 +317,10 @@ def davies_bouldin(df: DataFrame, v: str, label: str) -> DataFrame:
     """One row: the mean over clusters of the largest (s_i + s_j) / d_ij; null for one cluster."""
     dims = df.select(label, F.posexplode(doubles(F.col(v)))).groupBy(label, "pos").agg(F.avg("col").alias("m"))
     centers = dims.groupBy(F.col(label).alias("_c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("center"))
-    spread = df.join(F.broadcast(centers), F.col(label) == F.col("_c")).groupBy("_c").agg(F.avg(F.sqrt(_squared(doubles(F.col(v)), F.col("center")))).alias("s"), F.first("center").alias("center"))
+    spread = df.join(small(written(centers, "centers")), F.col(label) == F.col("_c")).groupBy("_c").agg(F.avg(F.sqrt(_squared(doubles(F.col(v)), F.col("center")))).alias("s"), F.first("center").alias("center"))
+    spread = written(spread, "spread")
     other = spread.select(F.col("_c").alias("c2"), F.col("s").alias("s2"), F.col("center").alias("center2"))
-    pairs = spread.join(F.broadcast(other), F.col("_c") != F.col("c2"))  # clusters by clusters
+    pairs = spread.join(small(other), F.col("_c") != F.col("c2"))  # clusters by clusters
     ratio = (F.col("s") + F.col("s2")) / F.nullif(F.sqrt(_squared(F.col("center"), F.col("center2"))), F.lit(0.0))
     return pairs.groupBy("_c").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
@@ -239,8 +336,8 @@ def quality(df: DataFrame, key: str, v: str, label: str) -> DataFrame:
 
 
 def quality_bundle(df: DataFrame, key: str, v: str, label: str) -> DataFrame:
-    """quality() with the balance of sizes and the separation of centres (of x and y)."""
-    return quality(df, key, v, label).crossJoin(size_balance(df, label)).crossJoin(center_separation(df, label))
+    """quality() with the balance of sizes and the separation of the clusters' mean vectors."""
+    return quality(df, key, v, label).crossJoin(size_balance(df, label)).crossJoin(center_separation(df, label, v))
 
 
 def pca(df: DataFrame, v: str, k: int = 2, out: str = "pc") -> tuple[DataFrame, list[float]]:
@@ -260,6 +357,38 @@ def feature_quality(df: DataFrame, v: str) -> dict[str, float]:
     return {"variance_mean": mean, "variance_cv": std / mean if mean else 0.0, "mean_abs_correlation": float(np.abs(corr[~np.eye(d, dtype=bool)]).mean()), "variance_at_50": float(share[min(50, d) - 1]), "components_95": int(np.searchsorted(share, 0.95) + 1)}
 
 
+def ensemble(df: DataFrame, v: str, k: int, key: str = "id", sample: int = 1000, seed: int = 42) -> DataFrame:
+    """df with cluster: k-means, bisecting and graph clusterings of a sample, joined by consensus() and weighed by silhouette.
+
+    The consensus is of at most `sample` rows, since it compares all with all; every row then takes the
+    nearest of its clusters' mean vectors.
+    """
+    from gridloom.operators.joins import knn_edges
+
+    some = written(hash_sample(df, key, sample).select(F.col(key).alias("id"), doubles(F.col(v)).alias("_v")), "sample")
+    plane, _ = pca(standardise(some, "_v", "_z"), "_z", 2)
+    edges = knn_edges(plane.select("id", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"), F.lit("all").alias("sample")), 10)
+    ways = {
+        "kmeans": kmeans(some, "_v", k, seed).select("id", F.col("cluster").alias("kmeans")),
+        "bisecting": bisecting(some, "_v", k, seed).select("id", F.col("cluster").alias("bisecting")),
+        "spectral": spectral(edges, k).select("id", F.col("cluster").alias("spectral")),
+    }
+    both = some
+    for way in ways.values():
+        both = both.join(way, "id", "left").fillna(-1)
+    both = written(both, "labelings")
+    scores = [max(1e-3, silhouette_mean(both, "id", "_v", name) or 0.0) for name in ways]
+    rows = both.select("id", *ways).orderBy("id").toPandas()  # the sample
+    rows["cluster"] = consensus(rows[list(ways)], scores, min(k, len(rows)))
+    labelled = some.join(some.sparkSession.createDataFrame(rows[["id", "cluster"]].astype("int64")), "id")
+    dims = labelled.select("cluster", F.posexplode("_v")).groupBy("cluster", "pos").agg(F.avg("col").alias("m")).orderBy("cluster", "pos").collect()
+    centers: dict[int, list[float]] = {}
+    for r in dims:
+        centers.setdefault(r["cluster"], []).append(r["m"])
+    width = len(next(iter(centers.values())))
+    return ClusterModel([0.0] * width, [1.0] * width, [centers[c] for c in sorted(centers)]).assign(df, v)
+
+
 def consensus(labelings: pd.DataFrame, scores: list[float], k: int) -> np.ndarray:
     """k clusters from several labelings of the same few points (a column each): average linkage on score-weighted co-association.
 

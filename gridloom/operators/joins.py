@@ -1,6 +1,6 @@
 """Spatial joins. Points have x, y, an id and usually a sample; joins are equi-joins on grid cells.
 
-The smaller side is copied to the nine cells around each of its points, so that a join on the cell
+The right side, which should be the smaller, is copied to the nine cells around each of its points, so that a join on the cell
 (and the sample) finds every pair within a cell's width; the distance is the residual condition.
 Cells are a shuffle key like any other: no distance matrix, no nested loop, and a crowded cell is
 split by adaptive execution.
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import distance
+from gridloom.session import small, written
 
 
 def _cell(c: Column, width: float) -> Column:
@@ -105,39 +106,67 @@ def assign_boxes(points: DataFrame, boxes: DataFrame, overlap: str = "last") ->
     return points.crossJoin(known).withColumn("assigned", F.coalesce(within, by_center(F.col("_boxes")))).drop("_boxes")
 
 
+#: Points that the choice of the first cell width looks at, of all samples together; the edges do not depend on it.
+PROBE = 1 << 20
+
+
+def _frames(own: DataFrame, k: int, on: str) -> DataFrame:
+    """on, _x0, _y0, _extent, _n, _level: each sample's frame, and the level (halvings of its extent) of the first cells.
+
+    That is the first level at which a point shares its cell with 2 k + 1 others or fewer in the mean.
+    Points are weighed by themselves, so it suits the dense parts; the sparse ones take wider cells later.
+    """
+    spans = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)) * 1.001
+    frame = written(own.groupBy(on).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), spans.alias("_extent"), F.count("*").alias("_n")), "frames")
+    n = frame.agg(F.sum("_n")).first()[0] or 0
+    part = min(1.0, PROBE / max(n, 1))
+    probe = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else own
+    deepest = F.least(F.lit(40), F.ceil(F.log("_n") / F.log(F.lit(4.0))) + 6).cast("int")
+    placed = probe.join(small(frame), on).withColumn("_l", F.explode(F.sequence(F.lit(0), deepest)))
+    cells = placed.groupBy(on, "_l", *_place("_l")).agg(F.count("*").cast("double").alias("c"))
+    crowd = cells.groupBy(on, "_l").agg((F.sum(F.col("c") * (F.col("c") - 1)) / F.sum("c") / part).alias("others"))
+    level = crowd.groupBy(on).agg(F.coalesce(F.min(F.when(F.col("others") <= 2 * k + 1, F.col("_l"))), F.max("_l")).alias("_level"))
+    return written(frame.join(level, on, "left").fillna(0, ["_level"]), "levels")
+
+
+def _place(level: str) -> list[Column]:
+    wide = F.col("_extent") / F.pow(F.lit(2.0), F.col(level))
+    return [F.floor((F.col(c) - F.col(f"_{c}0")) / wide).cast("bigint").alias(f"_c{c}") for c in ("x", "y")]
+
+
 def knn_edges(points: DataFrame, k: int, on: str = "sample") -> DataFrame:
     """on, i, j, dist, rank, w: each point's k nearest others in its sample; ties go to the lowest id, w is 1 / neighbours.
 
-    Rounds of growing cells: a point is done when its k-th neighbour lies within a cell's width,
-    since all points as near as that were seen; the others try cells four times as wide, until a
-    cell holds a whole sample.
+    Rounds of growing cells, of each sample's own width: a point is done when its k-th neighbour lies
+    within a cell's width, since all points as near as that were seen; the others try wider cells, until
+    a cell holds the whole sample. Only k candidates of a point leave a task.
     """
-    size = points.groupBy(on).agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
-    size = size.agg(F.max("n"), F.max("w"), F.max("h")).first()
-    if not size[0]:
+    own = points.select(on, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    frame = _frames(own, k, on)
+    most = frame.agg(F.max("_level")).first()[0]
+    if most is None:
         return points.sparkSession.createDataFrame([], f"{on} string, i bigint, j bigint, dist double, rank int, w double")
-    extent = max(size[1], size[2], 1e-9) * 1.001
-    width = min(extent, ((max(size[1], 1e-9) * max(size[2], 1e-9) * (k + 1) / size[0]) ** 0.5))
-    width = max(width, extent / 1024)
-    own = points.select(on, "id", "x", "y")
-    left, found = own, []
+    own = written(own.join(small(frame), on), "placed")
+    near, left, found, up = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])), own, [], 0
     while True:
-        last = width >= extent
-        pairs = grid_pairs(left, own, width, [on]).filter("l_id != r_id")
-        rank = F.row_number().over(Window.partitionBy("l_id").orderBy("dist", "r_id"))
-        top = pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(on, F.col("l_id").alias("i"), F.col("r_id").alias("j"), "dist", "rank")
-        if last:
-            found.append(top)
+        level = F.greatest(F.col("_level") - up, F.lit(0))
+        a = left.withColumn("_at", level).select(on, F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), *_place("_at"), "_at", "_extent", "_n")
+        b = own.withColumn("_at", level).select(on, F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), *_place("_at"))
+        b = b.withColumn("_dx", near).withColumn("_dy", near).withColumn("_cx", F.col("_cx") + F.col("_dx")).withColumn("_cy", F.col("_cy") + F.col("_dy"))
+        pairs = a.join(b, [on, "_cx", "_cy"]).filter("i != j").withColumn("dist", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+        rank = F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))  # with a limit of k before the shuffle
+        top = pairs.select(on, "i", "j", "dist", "_at", "_extent", "_n").withColumn("rank", rank).filter(F.col("rank") <= k)
+        top = written(top, "nearest")
+        whole = (F.col("_at") == 0) | ((F.col("rank") == k) & (F.col("dist") <= F.col("_extent") / F.pow(F.lit(2.0), F.col("_at"))))
+        done = top.filter(whole).select("i").distinct()
+        found.append(top.join(done, "i", "left_semi").select(on, "i", "j", "dist", "rank", (F.lit(1.0) / F.least(F.lit(k), F.col("_n") - 1)).alias("w")))
+        if up >= most:
             break
-        top = top.persist()
-        done = top.filter((F.col("rank") == k) & (F.col("dist") <= width)).select(F.col("i"))
-        found.append(top.join(done, "i", "left_semi").select(*top.columns))
-        left = left.join(done.withColumnRenamed("i", "id"), "id", "left_anti").persist()
+        left = written(left.join(done.withColumnRenamed("i", "id"), "id", "left_anti"), "left")
         if left.isEmpty():
             break
-        width = min(extent, 4 * width)
-    edges = reduce(DataFrame.unionByName, found)
-    return edges.withColumn("w", F.lit(1.0) / F.count("*").over(Window.partitionBy("i")))
+        up += 1 if up == 0 else 2
+    return reduce(DataFrame.unionByName, found)
 
 
 def band_edges(points: DataFrame, threshold: float, on: str = "sample") -> DataFrame:
@@ -147,15 +176,22 @@ def band_edges(points: DataFrame, threshold: float, on: str = "sample") -> DataF
     return pairs.withColumn("w", F.lit(1.0) / F.count("*").over(Window.partitionBy("i")))
 
 
+DELAUNAY_MOST = 50_000
+
+
 def delaunay_edges(points: DataFrame, on: str = "sample") -> DataFrame:
     """on, i, j, w: neighbours in the Delaunay triangulation of each sample (distinct points; at least three).
 
-    One task per sample, with the incremental algorithm of Bowyer and Watson in numpy; meant for
-    samples that fit a task.
+    One task per sample, with the incremental algorithm of Bowyer and Watson in numpy; a sample of more
+    than DELAUNAY_MOST points is an error, since its triangulation is no work for one task.
     """
     import numpy as np
     import pandas as pd
 
+    large = points.groupBy(on).agg(F.count("*").alias("n")).filter(F.col("n") > DELAUNAY_MOST).first()
+    if large:
+        raise ValueError(f"a sample has {large['n']} points, more than {DELAUNAY_MOST}: take knn or distance weights")
+
     def triangulate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").drop_duplicates(["x", "y"])
         p = pdf[["x", "y"]].to_numpy(float)

@@ -32,8 +32,12 @@ def tile_pixels(pixels: DataFrame, stride: int, patch: int, value: str = "v") ->
     p = pixels.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near))
     p = p.withColumn("tile_y", F.floor(F.col("y") / stride) - F.col("_dy")).withColumn("tile_x", F.floor(F.col("x") / stride) - F.col("_dx")).filter("tile_y >= 0 AND tile_x >= 0")
     p = p.withColumn("_oy", F.col("y") - F.col("tile_y") * stride).withColumn("_ox", F.col("x") - F.col("tile_x") * stride).filter((F.col("_oy") < patch) & (F.col("_ox") < patch))
-    found = p.groupBy("tile_y", "tile_x").agg(F.map_from_entries(F.collect_list(F.struct((F.col("_oy") * patch + F.col("_ox")).cast("int"), F.col(value).cast("double")))).alias("_m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(patch * patch - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    at = (F.col("_oy") * patch + F.col("_ox")).cast("int").alias("at")
+    found = p.groupBy("tile_y", "tile_x").agg(F.array_sort(F.collect_list(F.struct(at, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x")))).alias("_s"))
+    # One pass over the sorted pixels: each brings the zeros between it and the one before.
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    filled = F.transform("_s", lambda e, i: F.concat(zeros(e["at"] - F.coalesce(F.get("_s", i - 1)["at"], F.lit(-1)) - 1), F.array(e["x"])))
+    data = F.concat(F.flatten(filled), zeros(patch * patch - 1 - F.element_at("_s", -1)["at"]))
     return found.select(F.col("tile_y").cast("int"), F.col("tile_x").cast("int"), data.alias("data"))
 
 

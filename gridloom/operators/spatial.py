@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from gridloom.operators.joins import band_edges, delaunay_edges, knn_edges
+from gridloom.session import small, written
 
 LEAST_POINTS = 10
 
@@ -36,10 +37,9 @@ def weights(points: DataFrame, method: str = "knn", k: int = 8, threshold: float
 
 def deviations(points: DataFrame, value: str, on: str = "sample", least: int = LEAST_POINTS) -> DataFrame:
     """on, id, dev: value less its sample's mean, as numbers; samples under `least` points are left out."""
-    part = Window.partitionBy(on)
     v = F.col(value).cast("double")
-    out = points.select(on, "id", (v - F.avg(v).over(part)).alias("dev"), F.count("*").over(part).alias("_n"))
-    return out.filter(F.col("_n") >= least).drop("_n")
+    per = written(points.groupBy(on).agg(F.avg(v).alias("_mean"), F.count("*").alias("_n")).filter(F.col("_n") >= least), "means")
+    return points.join(small(per), on).select(on, "id", (v - F.col("_mean")).alias("dev"))
 
 
 def _lagged(dev: DataFrame, edges: DataFrame, on: str) -> DataFrame:
@@ -77,7 +77,8 @@ def getis_ord_g(points: DataFrame, on: str = "sample", least: int = LEAST_POINTS
 
 def local_g(points: DataFrame, edges: DataFrame, value: str, on: str = "sample") -> DataFrame:
     """on, id, g: Getis and Ord's (1992) G of each point, the neighbours' weighted share of the sample's other values (an extension)."""
-    v = points.select(on, "id", F.col(value).cast("double").alias("v"), F.sum(F.col(value).cast("double")).over(Window.partitionBy(on)).alias("total"))
+    totals = written(points.groupBy(on).agg(F.sum(F.col(value).cast("double")).alias("total")), "totals")
+    v = points.select(on, "id", F.col(value).cast("double").alias("v")).join(small(totals), on)
     near = edges.join(v.select(F.col("id").alias("j"), F.col("v").alias("vj")), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("vj")).alias("s"))
     return v.join(near, v["id"] == near["i"], "left").select(on, "id", (F.coalesce("s", F.lit(0.0)) / F.nullif(F.col("total") - F.col("v"), F.lit(0.0))).alias("g"))
 

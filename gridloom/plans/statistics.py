@@ -168,15 +168,29 @@ def local_g(spark, sf):
     return S.local_g(p, knn_edges(p, 8), "label").withColumn("g", r6("g"))
 
 
-@query()
+#: 2 (1 - Phi(|z|)) by Simpson's rule, which SQL has no function for; |z| is taken up to 12.
+P_OF_Z = """(SELECT greatest(0, 1 - 2 * sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(least(abs({z}), 12) * i / 2000, 2) / 2)) * least(abs({z}), 12) / 6000 / sqrt(2 * pi())) FROM range(2001) t(i))"""
+SUMMARY = """i6 AS (SELECT *, CASE WHEN den > 0 AND ws > 0 THEN n / ws * num / den ELSE 0 END AS i, -1 / (n - 1) AS e FROM s), v6 AS (SELECT *, (n * n - 3 * n + 3) / ((n - 1) * (n - 2) * (n - 3)) - e * e AS var FROM i6), z6 AS (SELECT *, CASE WHEN var > 0 THEN (i - e) / sqrt(var) ELSE 0 END AS z FROM v6),
+p6 AS (SELECT *, """ + P_OF_Z.format(z="z6.z") + """ AS p FROM z6), g6 AS (SELECT *, CASE WHEN p >= 0.05e0 THEN 'random' WHEN i > e THEN 'clustering' ELSE 'dispersion' END AS pattern, CAST(sum(CASE WHEN p < 0.05e0 THEN 1 ELSE 0 END) OVER () AS BIGINT) AS sig, count(*) OVER () AS total FROM p6)
+SELECT g6.sample, n_points, round(i, 6) + 0 AS morans_i, round(e, 6) + 0 AS expected_i, round(var, 6) + 0 AS variance, round(z, 6) + 0 AS z_score, round(p, 5) + 0 AS p_value, k AS n_clusters, pattern, sig AS n_significant, total AS n_samples,
+ CASE WHEN sig * 2 > total THEN 'strong' WHEN sig > 0 THEN 'moderate' ELSE 'limited' END AS evidence FROM g6 JOIN (SELECT sample, count(DISTINCT label) AS k FROM pts GROUP BY sample) USING (sample)"""
+
+
+def summed_up(df):
+    return df.withColumns({**{c: r6(c) for c in ("morans_i", "expected_i", "variance", "z_score")}, "p_value": F.round("p_value", 5) + F.lit(0.0)})
+
+
+@query(f"""WITH {MORAN}, s AS (SELECT sample, count(*) AS n_points, CAST(count(*) AS DOUBLE) AS n, sum(w) AS ws, sum(dev * lag) AS num, sum(dev * dev) AS den FROM dev JOIN lag ON dev.id = lag.i WHERE n >= 10 GROUP BY sample), {SUMMARY}""")
 def spatial_summary(spark, sf):
     """Moran's I per sample with p, pattern and the overall evidence."""
-    return S.summary(S.analyse(points(spark, sf), "label", "knn", 8))
+    return summed_up(S.summary(S.analyse(points(spark, sf), "label", "knn", 8)))
 
 
-@query()
+@query(f"""WITH {PTS}, near AS (SELECT a.id AS i, b.id AS j FROM pts a JOIN pts b ON a.sample = b.sample AND a.id <> b.id WHERE {DIST} > 0 AND {DIST} <= 60), wts AS (SELECT i, j, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY i) AS w FROM near),
+dev AS (SELECT id, sample, label - avg(label) OVER (PARTITION BY sample) AS dev, count(*) OVER (PARTITION BY sample) AS n FROM pts), lag AS (SELECT i, sum(w * dev) AS lag, sum(w) AS w FROM wts JOIN dev ON wts.j = dev.id GROUP BY i),
+s AS (SELECT sample, count(*) AS n_points, CAST(count(*) AS DOUBLE) AS n, sum(coalesce(w, 0)) AS ws, sum(dev * coalesce(lag, 0)) AS num, sum(dev * dev) AS den FROM dev LEFT JOIN lag ON dev.id = lag.i WHERE n >= 10 GROUP BY sample), {SUMMARY}""")
 def spatial_band_summary(spark, sf):
-    return S.summary(S.analyse(points(spark, sf), "label", "distance", threshold=60.0))
+    return summed_up(S.summary(S.analyse(points(spark, sf), "label", "distance", threshold=60.0)))
 
 
 @query(f"""WITH {PTS}, {KNN.replace('<= 8', '<= 9')}, p AS (SELECT i, a.label, avg(CASE WHEN a.label = b.label THEN CAST(1 AS DOUBLE) ELSE 0 END) AS purity FROM knn JOIN pts a ON knn.i = a.id JOIN pts b ON knn.j = b.id GROUP BY i, a.label)
@@ -210,7 +224,10 @@ def size_balance(spark, sf):
     return b.withColumn("size_ratio", r6("size_ratio")).withColumn("size_cv", r6("size_cv"))
 
 
-@query(f"WITH {PTS}, c AS (SELECT label, avg(x) AS x, avg(y) AS y FROM pts GROUP BY label), d AS (SELECT {DIST} AS d FROM c a JOIN c b ON a.label < b.label) SELECT round(min(d), 6) + 0 AS min_separation, round(avg(d), 6) + 0 AS mean_separation, round(max(d) / min(d), 6) + 0 AS separation_ratio FROM d")
+SEP = "c AS (SELECT label, pos, avg(val) AS m FROM dims GROUP BY 1, 2), sep AS (SELECT a.label AS i, b.label AS j, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM c a JOIN c b ON a.pos = b.pos AND a.label < b.label GROUP BY 1, 2)"
+
+
+@query(f"WITH {DIMS}, {SEP} SELECT round(min(d), 6) + 0 AS min_separation, round(avg(d), 6) + 0 AS mean_separation, round(max(d) / min(d), 6) + 0 AS separation_ratio FROM sep")
 def center_separation(spark, sf):
     c = A.center_separation(points(spark, sf), "label")
     return c.select(*[r6(x).alias(x) for x in c.columns])
@@ -240,10 +257,67 @@ def davies_bouldin(spark, sf):
     return C.davies_bouldin(points(spark, sf), "v", "label").select(r6("davies_bouldin").alias("davies_bouldin"))
 
 
-@query()
+VSIL = f"""d AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[]))) AS s, count(*) AS n FROM pts a, pts b GROUP BY 1, 2, 3),
+ab AS (SELECT id, label, max(CASE WHEN other = label AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN other <> label THEN s / n END) AS b FROM d GROUP BY id, label),
+sil AS (SELECT avg(coalesce((b - a) / greatest(a, b), 0)) AS s FROM ab)"""
+
+
+@query(f"""WITH {DIMS}, {SEP}, {VSIL}, z AS (SELECT label, CAST(count(*) AS DOUBLE) AS n FROM pts GROUP BY label), g AS (SELECT pos, avg(val) AS m FROM dims GROUP BY pos),
+w AS (SELECT sum((val - m) * (val - m)) AS w FROM dims JOIN c USING (label, pos)), b AS (SELECT sum(n * (c.m - g.m) * (c.m - g.m)) AS b FROM c JOIN g USING (pos) JOIN z USING (label)), k AS (SELECT count(*) AS k, sum(n) AS n FROM z),
+e AS (SELECT label, avg(d) AS s FROM (SELECT id, dims.label, sqrt(sum((val - m) * (val - m))) AS d FROM dims JOIN c ON dims.label = c.label AND dims.pos = c.pos GROUP BY 1, 2) GROUP BY label),
+r AS (SELECT x.label, max((x.s + y.s) / d) AS r FROM sep JOIN e x ON x.label = i OR x.label = j JOIN e y ON y.label = CASE WHEN x.label = i THEN j ELSE i END GROUP BY 1)
+SELECT (SELECT round(s, 5) + 0 FROM sil) AS silhouette, (SELECT round((b / (k - 1)) / (w / (n - k)), 5) + 0 FROM w, b, k) AS calinski_harabasz, (SELECT round(avg(r), 5) + 0 FROM r) AS davies_bouldin, (SELECT k FROM k) AS k,
+ (SELECT min(n) FROM z) AS min_size, (SELECT max(n) FROM z) AS max_size, (SELECT round(max(n) / min(n), 5) + 0 FROM z) AS size_ratio, (SELECT round(stddev_pop(n) / avg(n), 5) + 0 FROM z) AS size_cv,
+ (SELECT round(min(d), 5) + 0 FROM sep) AS min_separation, (SELECT round(avg(d), 5) + 0 FROM sep) AS mean_separation, (SELECT round(max(d) / min(d), 5) + 0 FROM sep) AS separation_ratio""")
 def quality_bundle(spark, sf):
-    """All cluster quality figures of one labeling."""
-    return C.quality_bundle(points(spark, sf), "id", "v", "label")
+    """All cluster quality figures of one labeling, on its vectors."""
+    q = C.quality_bundle(points(spark, sf), "id", "v", "label")
+    return q.select(*[F.col(c) if c in ("k", "min_size", "max_size") else (F.round(c, 5) + 0).alias(c) for c in q.columns])
+
+
+@query(f"""WITH {SIL}, p2 AS (SELECT *, CAST(id % 3 AS BIGINT) AS l2 FROM pts), e AS (SELECT a.id, a.l2, b.l2 AS other, sum({DIST}) AS s, count(*) AS n FROM p2 a, p2 b GROUP BY 1, 2, 3),
+f AS (SELECT id, l2, max(CASE WHEN other = l2 AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN other <> l2 THEN s / n END) AS b FROM e GROUP BY id, l2),
+m AS (SELECT (SELECT avg(s) FROM sil) AS x, (SELECT avg(coalesce((b - a) / greatest(a, b), 0)) FROM f) AS y) SELECT round(x, 6) + 0 AS first_silhouette, round(y, 6) + 0 AS second_silhouette, round(CASE WHEN y = 0 THEN 0 ELSE (x - y) / y END, 4) + 0 AS effect FROM m""")
+def coherence_effect(spark, sf):
+    """How much more coherent one labeling is than another, by mean silhouettes on the coordinates."""
+    p = points(spark, sf).withColumn("xy", F.array("x", "y")).withColumn("other", F.col("id") % 3)
+    a, b = (C.silhouette(p, "id", "xy", c).agg(F.avg("silhouette").alias(n)) for c, n in (("label", "a"), ("other", "b")))
+    return a.crossJoin(b).select(r6("a").alias("first_silhouette"), r6("b").alias("second_silhouette"), (F.round(C.coherence_effect(F.col("a"), F.col("b")), 4) + 0).alias("effect"))
+
+
+@query(f"""WITH {PTS}, m AS (SELECT var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM pts), e AS (SELECT (a + b) / 2 AS h, sqrt((a - b) * (a - b) / 4 + c * c) AS r FROM m)
+SELECT CAST(i AS INTEGER) AS component, round((h + CASE WHEN i = 0 THEN r ELSE -r END) / (2 * h), 6) + 0 AS share FROM e, range(2) t(i)""")
+def pca_plane(spark, sf):
+    """Principal components of the coordinates; two by two, their eigenvalues are a formula."""
+    _, shares = C.pca(points(spark, sf).withColumn("xy", F.array("x", "y")), "xy", 2)
+    return spark.createDataFrame([(i, round(s, 6) + 0.0) for i, s in enumerate(shares)], "component int, share double")
+
+
+@query(f"""WITH {DIMS}, s AS (SELECT pos, var_pop(val) AS v FROM dims GROUP BY pos), r AS (SELECT avg(abs(c)) AS c FROM (SELECT corr(a.val, b.val) AS c FROM dims a JOIN dims b ON a.id = b.id AND a.pos < b.pos GROUP BY a.pos, b.pos))
+SELECT round(avg(v), 8) + 0 AS variance_mean, round(stddev_pop(v) / avg(v), 5) + 0 AS variance_cv, (SELECT round(c, 5) + 0 FROM r) AS mean_abs_correlation FROM s""")
+def feature_spread(spark, sf):
+    q = C.feature_quality(points(spark, sf), "v")
+    return spark.createDataFrame([(round(q["variance_mean"], 8), round(q["variance_cv"], 5), round(q["mean_abs_correlation"], 5))], "variance_mean double, variance_cv double, mean_abs_correlation double")
+
+
+@query(f"""WITH {SIL}, z AS (SELECT label, avg(x) AS x, avg(y) AS y, CAST(count(*) AS DOUBLE) AS n FROM pts GROUP BY label), t AS (SELECT avg(x) AS x, avg(y) AS y, CAST(count(*) AS DOUBLE) AS n FROM pts),
+w AS (SELECT sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS w FROM pts a JOIN z b USING (label)), b AS (SELECT sum(a.n * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS b FROM z a, t b),
+e AS (SELECT label, avg({DIST}) AS s FROM pts a JOIN z b USING (label) GROUP BY label), r AS (SELECT a.label, max((p.s + q.s) / {DIST}) AS r FROM z a JOIN z b ON a.label <> b.label JOIN e p ON p.label = a.label JOIN e q ON q.label = b.label GROUP BY a.label)
+SELECT 'labels' AS labeling, (SELECT round(avg(s), 5) + 0 FROM sil) AS silhouette, (SELECT round((b / ((SELECT count(*) FROM z) - 1)) / (w / (n - (SELECT count(*) FROM z))), 5) + 0 FROM w, b, t) AS calinski_harabasz, (SELECT round(avg(r), 5) + 0 FROM r) AS davies_bouldin
+UNION ALL SELECT 'one', CAST(-1 AS DOUBLE), CAST(0 AS DOUBLE), CAST('Infinity' AS DOUBLE)""")
+def cluster_scores(spark, sf):
+    """The evaluator on the coordinates: of the labels, and of one cluster for all, which has fixed values."""
+    p = points(spark, sf).withColumn("xy", F.array("x", "y")).withColumn("one", F.lit(0))
+    both = [C.quality(p, "id", "xy", c).withColumn("labeling", F.lit(n)) for c, n in (("label", "labels"), ("one", "one"))]
+    return both[0].unionByName(both[1]).select("labeling", *[(F.round(c, 5) + 0).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")])
+
+
+@query(f"""WITH {PTS}, c AS (SELECT label AS l, avg(x) AS x, avg(y) AS y FROM pts GROUP BY label), d AS (SELECT a.id, a.label, max(CASE WHEN l = a.label THEN {DIST} END) AS own, min(CASE WHEN l <> a.label THEN {DIST} END) AS other FROM pts a, c b GROUP BY 1, 2)
+SELECT CAST(label AS BIGINT) AS label, round(avg(coalesce((other - own) / nullif(greatest(other, own), 0), 0)), 6) + 0 AS mean, count(*) AS n FROM d GROUP BY label""")
+def silhouette_by_centers(spark, sf):
+    """The silhouette by distances to the clusters' means, which is linear in the points."""
+    s = C.simplified_silhouette(points(spark, sf).withColumn("xy", F.array("x", "y")), "id", "xy", "label")
+    return s.groupBy("label").agg(r6(F.avg("silhouette")).alias("mean"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {PTS}, seed AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, x, y FROM (SELECT * FROM pts ORDER BY id LIMIT 5)), a1 AS (SELECT * FROM (SELECT a.id, a.x, a.y, b.c, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.c) AS rn FROM pts a, seed b) WHERE rn = 1),
@@ -253,6 +327,34 @@ def lloyd_kmeans(spark, sf):
     return C.lloyd(p, "xy", 5, rounds=1).select("id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
+BATCHED = """seed AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, x, y, CAST(0 AS DOUBLE) AS n FROM (SELECT * FROM pts ORDER BY id LIMIT 4))"""
+
+
+def _batch_sql(k: int, before: str) -> str:
+    """The centres after mini-batch k: each is the mean of all it has been given."""
+    return f"""a{k} AS (SELECT * FROM (SELECT a.id, a.x, a.y, b.c, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.c) AS rn FROM pts a, {before} b WHERE a.id % 3 = {k}) WHERE rn = 1),
+g{k} AS (SELECT c, count(*) AS m, sum(x) AS sx, sum(y) AS sy FROM a{k} GROUP BY c), b{k} AS (SELECT c, (x * n + coalesce(sx, 0)) / greatest(n + coalesce(m, 0), 1e-300) * (CASE WHEN n + coalesce(m, 0) > 0 THEN 1 ELSE 0 END) + CASE WHEN n + coalesce(m, 0) > 0 THEN 0 ELSE x END AS x,
+ (y * n + coalesce(sy, 0)) / greatest(n + coalesce(m, 0), 1e-300) * (CASE WHEN n + coalesce(m, 0) > 0 THEN 1 ELSE 0 END) + CASE WHEN n + coalesce(m, 0) > 0 THEN 0 ELSE y END AS y, n + coalesce(m, 0) AS n FROM {before} LEFT JOIN g{k} USING (c))"""
+
+
+@query(f"""WITH {PTS}, {BATCHED}, {_batch_sql(0, 'seed')}, {_batch_sql(1, 'b0')}, {_batch_sql(2, 'b1')}
+SELECT id, CAST(c AS INTEGER) AS cluster FROM (SELECT a.id, b.c, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.c) AS rn FROM pts a, b2 b) WHERE rn = 1""")
+def minibatch_clusters(spark, sf):
+    """One pass of three mini-batches from the first four points, then every point's nearest centre."""
+    p = points(spark, sf).withColumn("xy", F.array("x", "y"))
+    return C.minibatch_kmeans(p, "xy", 4, batches=3, scale=False).assign(p, "xy").select("id", "cluster")
+
+
+@query()
+def ensemble_clusters(spark, sf):
+    return C.ensemble(points(spark, sf), "v", 5, sample=300).select("id", "cluster")
+
+
+@query()
+def chosen_k_by_criteria(spark, sf):
+    return spark.createDataFrame([(C.choose_k_by_criteria(points(spark, sf).withColumn("xy", F.array("x", "y")), "xy", 5, sample=1000),)], "k int")
+
+
 @query()
 def kmeans_clusters(spark, sf):
     """k-means on standardised vectors, best of three restarts."""

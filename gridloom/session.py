@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +34,49 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder, and any other one in the warehouse.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if spark.sparkContext.master.startswith("local"):
+            own = tempfile.mkdtemp(prefix="scratch-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            named = f"file://{own}"
+        else:
+            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: it is computed once and outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows; else the join is left to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def with_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Consecutive ids from 0 in the order of the columns, without a single-task sort.
+    """Consecutive ids from 0 in the order of the columns, without a single-task sort; rows equal in these are ordered by the others.
 
-    Range partitions are counted first, and a row's id is its place in its partition plus the rows
-    of the partitions before.
+    Range partitions are written and counted, and a row's id is its place in its partition plus the
+    rows of the partitions before.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie = F.xxhash64(*df.columns)
+    dealt = written(df.withColumn("_tie", tie).repartitionByRange(n, *order, "_tie").withColumn("_part", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_place")).cast("bigint")).drop("_part", "_place", "_before")
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row per partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_tie")) - 1
+    out = dealt.withColumn("_place", place).join(F.broadcast(before), "_part")
+    return out.withColumn(name, (F.col("_before") + F.col("_place")).cast("bigint")).drop("_part", "_place", "_before", "_tie")
 
 
 def same_length(a: DataFrame, b: DataFrame) -> None:

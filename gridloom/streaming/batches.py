@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from gridloom.operators.clustering import ClusterModel
 from gridloom.operators.joins import nearest
 
 
@@ -27,3 +28,18 @@ def each_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], pa
 def assign_stream(stream: DataFrame, spots: DataFrame, max_distance: float, path: str, checkpoint: str) -> StreamingQuery:
     """Arriving points (id, x, y) with their nearest spot of a fixed table."""
     return each_batch(stream, lambda batch: nearest(batch, spots, max_distance), path, checkpoint)
+
+
+def cluster_stream(stream: DataFrame, v: str, start: ClusterModel, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """One-pass mini-batch k-means of arriving vectors: after each batch the model lies under path/batch=<number>.
+
+    A batch that comes again starts from the model before it, so that no vector counts twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        model = ClusterModel.load(spark, f"{path}/batch={number - 1}") if number else start
+        model.partial_fit(batch, v).save(spark, f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
