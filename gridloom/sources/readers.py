@@ -1,12 +1,13 @@
 """Reading label maps, rasters, features, coordinates and reports.
 
-All readers go through Spark, so a path can be in any store that Spark reads; .npy files are decoded
-on the executors from the binaryFile source.
+All readers go through Spark, so a path can be in any store that Spark reads; .npy and uncompressed
+TIFF files are decoded on the executors from the binaryFile source.
 """
 
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +20,24 @@ from gridloom.functions.vectors import detect_scales
 from gridloom.operators.filters import in_samples, match_samples
 from gridloom.operators.joins import nearest, nearest_or_fail
 from gridloom.session import require, same_length
+from gridloom.sources import tiff
 
 
 def _arrays(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
+def _image(content: bytes) -> np.ndarray:
+    return tiff.decode(content) if tiff.is_tiff(content) else np.load(io.BytesIO(content), allow_pickle=False)
+
+
 def label_map(spark: SparkSession, path: str) -> DataFrame:
-    """y, x, label of an .npy file, without background: a 2-D integer array, or a stack packed so that later planes win."""
+    """y, x, label of an .npy or TIFF file, without background: a 2-D integer array, or a stack packed so that later planes win."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                a = np.load(io.BytesIO(content), allow_pickle=False)
+                a = _image(content)
                 if a.ndim == 3:
                     out = np.zeros(a.shape[1:], np.int32)
                     for i, plane in enumerate(a, 1):
@@ -47,12 +53,12 @@ def label_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binary_mask(spark: SparkSession, path: str) -> DataFrame:
-    """y, x, v of an .npy file: any plane of a stack, a boolean map as it is, an integer one where positive."""
+    """y, x, v of an .npy or TIFF file: any plane of a stack, a boolean map as it is, an integer one where positive."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                a = np.load(io.BytesIO(content), allow_pickle=False)
+                a = _image(content)
                 a = a.astype(bool).any(0) if a.ndim == 3 else a > 0
                 y, x = np.indices(a.shape)
                 yield pd.DataFrame({"y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "v": a.ravel()})
@@ -61,12 +67,12 @@ def binary_mask(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, path: str, region: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """y, x, c, v of an .npy image, gray or with channels; region (y0, y1, x0, x1) reads a part."""
+    """y, x, c, v of an .npy or TIFF image, gray or with channels; region (y0, y1, x0, x1) reads a part."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                a = np.load(io.BytesIO(content), allow_pickle=False)
+                a = _image(content)
                 y0, y1, x0, x1 = region or (0, a.shape[0], 0, a.shape[1])
                 a = a[y0:y1, x0:x1]
                 a = a[:, :, None] if a.ndim == 2 else a
@@ -76,12 +82,31 @@ def raster(spark: SparkSession, path: str, region: tuple[int, int, int, int] | N
     return _arrays(spark, path).mapInPandas(decode, "y int, x int, c int, v double")
 
 
+def raster_tiles(spark: SparkSession, folder: str, tile: int) -> DataFrame:
+    """y, x, c, v of a folder of tiles as writers.tiff_tiles() leaves them, with places in the whole image."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                ty, tx = map(int, re.search(r"tile_(\d+)_(\d+)\.tif$", path).groups())
+                a = _image(content)
+                a = a[:, :, None] if a.ndim == 2 else a
+                y, x, c = np.indices(a.shape)
+                yield pd.DataFrame({"y": (y + ty * tile).ravel().astype("int32"), "x": (x + tx * tile).ravel().astype("int32"), "c": c.ravel().astype("int32"), "v": a.ravel().astype(float)})
+
+    return spark.read.format("binaryFile").load(f"{folder}/*.tif").select("path", "content").mapInPandas(decode, "y int, x int, c int, v double")
+
+
 def image_size(spark: SparkSession, path: str, default: tuple[int, int] = (1000, 1000)) -> tuple[int, int]:
-    """(width, height) of an .npy image from its header; the default if it can't be read."""
+    """(width, height) of an .npy or TIFF image from its header; the default if it can't be read."""
 
     def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
+                if tiff.is_tiff(content):
+                    w, h = tiff.size(content)
+                    yield pd.DataFrame({"w": [w], "h": [h]})
+                    continue
                 f = io.BytesIO(content)
                 version = np.lib.format.read_magic(f)
                 got = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)[0]
