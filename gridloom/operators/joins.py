@@ -134,6 +134,16 @@ def _place(level: str) -> list[Column]:
     return [F.floor((F.col(c) - F.col(f"_{c}0")) / wide).cast("bigint").alias(f"_c{c}") for c in ("x", "y")]
 
 
+def _candidates(left: DataFrame, own: DataFrame, up: int, on: str) -> DataFrame:
+    """Pairs of each left point with the points in its cell and those around it, at cells `up` levels above the first."""
+    level, near = F.greatest(F.col("_level") - up, F.lit(0)), F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+    a = left.withColumn("_at", level).select(on, F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), *_place("_at"), "_at", "_extent", "_n")
+    b = own.withColumn("_at", level).select(on, F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), *_place("_at"))
+    b = b.withColumn("_dx", near).withColumn("_dy", near).withColumn("_cx", F.col("_cx") + F.col("_dx")).withColumn("_cy", F.col("_cy") + F.col("_dy"))
+    pairs = a.join(b, [on, "_cx", "_cy"]).filter("i != j").withColumn("dist", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    return pairs.select(on, "i", "j", "dist", "_at", "_extent", "_n")
+
+
 def knn_edges(points: DataFrame, k: int, on: str = "sample") -> DataFrame:
     """on, i, j, dist, rank, w: each point's k nearest others in its sample; ties go to the lowest id, w is 1 / neighbours.
 
@@ -147,15 +157,11 @@ def knn_edges(points: DataFrame, k: int, on: str = "sample") -> DataFrame:
     if most is None:
         return points.sparkSession.createDataFrame([], f"{on} string, i bigint, j bigint, dist double, rank int, w double")
     own = written(own.join(small(frame), on), "placed")
-    near, left, found, up = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])), own, [], 0
+    left, found, up = own, [], 0
     while True:
-        level = F.greatest(F.col("_level") - up, F.lit(0))
-        a = left.withColumn("_at", level).select(on, F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), *_place("_at"), "_at", "_extent", "_n")
-        b = own.withColumn("_at", level).select(on, F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), *_place("_at"))
-        b = b.withColumn("_dx", near).withColumn("_dy", near).withColumn("_cx", F.col("_cx") + F.col("_dx")).withColumn("_cy", F.col("_cy") + F.col("_dy"))
-        pairs = a.join(b, [on, "_cx", "_cy"]).filter("i != j").withColumn("dist", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+        pairs = _candidates(left, own, up, on)
         rank = F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))  # with a limit of k before the shuffle
-        top = pairs.select(on, "i", "j", "dist", "_at", "_extent", "_n").withColumn("rank", rank).filter(F.col("rank") <= k)
+        top = pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
         top = written(top, "nearest")
         whole = (F.col("_at") == 0) | ((F.col("rank") == k) & (F.col("dist") <= F.col("_extent") / F.pow(F.lit(2.0), F.col("_at"))))
         done = top.filter(whole).select("i").distinct()

@@ -127,3 +127,28 @@ def test_radius_join_uses_no_nested_loop(spark):
     _, df = cloud(spark, 30, 8)
     plan = J.radius_join(df, df.withColumn("id", F.col("id") + 100), 5.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_knn_candidates_stay_few_beside_a_wide_sample(spark):
+    r = np.random.default_rng(21)
+    rows = [(i, *map(float, r.uniform(0, 1e6, 2)), "wide") for i in range(50)] + [(100 + i, *map(float, r.uniform(0, 1, 2)), "dense") for i in range(3000)]
+    df, k = points(spark, rows, ", sample string"), 8
+    frame = J._frames(df, k, "sample")
+    own = df.join(frame, "sample")
+    assert J._candidates(own, own, 0, "sample").count() <= 50 * k * len(rows)
+    e = J.knn_edges(df, k)
+    assert e.count() == k * len(rows) and e.groupBy("i").agg(F.sum("w").alias("w")).filter("abs(w - 1) > 1e-9").count() == 0
+
+
+def test_knn_keeps_k_candidates_before_the_shuffle(spark):
+    _, df = cloud(spark, 60, 22)
+    own = df.join(J._frames(df, 4, "sample"), "sample")
+    rank = F.row_number().over(J.Window.partitionBy("i").orderBy("dist", "j"))
+    plan = J._candidates(own, own, 0, "sample").withColumn("rank", rank).filter("rank <= 4")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "NestedLoop" not in plan
+
+
+def test_delaunay_refuses_a_sample_that_is_too_large(spark, monkeypatch):
+    monkeypatch.setattr(J, "DELAUNAY_MOST", 20)
+    with pytest.raises(ValueError):
+        J.delaunay_edges(cloud(spark, 60, 23)[1])
