@@ -41,11 +41,12 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spots(spark: SparkSession, sf: str) -> DataFrame:
-    return points(spark, sf).filter("id % 10 = 0")
+    """All points, stretched and moved: the other side of joins."""
+    return points(spark, sf).withColumn("x", F.col("x") * 0.97 + 7).withColumn("y", F.col("y") * 1.02 - 5)
 
 
 def nuclei(spark: SparkSession, sf: str) -> DataFrame:
-    return points(spark, sf).filter("id % 10 != 0")
+    return points(spark, sf)
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +69,7 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PTS = "pts AS (SELECT vec_id AS id, 1000 * CAST(embedding[1] AS DOUBLE) AS x, 1000 * CAST(embedding[2] AS DOUBLE) AS y, 'S' || (vec_id % 3) AS sample, label, embedding AS v FROM embeddings)"
-SPOTS = f"{PTS}, spots AS (SELECT * FROM pts WHERE id % 10 = 0), nuclei AS (SELECT * FROM pts WHERE id % 10 <> 0)"
+SPOTS = f"{PTS}, spots AS (SELECT * REPLACE (x * 0.97e0 + 7 AS x, y * 1.02e0 - 5 AS y) FROM pts), nuclei AS (SELECT * FROM pts)"
 DIMS = f"{PTS}, dims AS (SELECT id, sample, label, unnest(range(64)) AS pos, CAST(unnest(v) AS DOUBLE) AS val FROM pts)"
 DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 METRICS = """m AS (SELECT l_orderkey * 10 + l_linenumber AS label, l_quantity AS area, l_extendedprice / 2000 AS perimeter, l_quantity * (1 + l_tax) AS filled_area,

@@ -193,13 +193,14 @@ def zone_agreement_overall(spark, sf):
     return a.agg(F.sum("m").alias("n_matched"), r6(F.avg("mean_n")).alias("mean_nuclei"), r6(F.avg("ari")).alias("ari"), r6(F.avg("nmi")).alias("nmi"))
 
 
-BOXES = f"""{PTS}, box AS (SELECT sample, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, row_number() OVER (ORDER BY sample) AS ord FROM pts WHERE id % 7 = 0 AND label < 5 GROUP BY sample),
+BOXES = f"""{PTS}, box AS (SELECT sample, avg(x) - stddev_pop(x) AS x0, avg(x) + stddev_pop(x) AS x1, avg(y) - stddev_pop(y) AS y0, avg(y) + stddev_pop(y) AS y1, row_number() OVER (ORDER BY sample) AS ord FROM pts GROUP BY sample),
 pb AS (SELECT p.id, b.sample, ord, x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AS inside, sqrt((x - (x0 + x1) / 2) * (x - (x0 + x1) / 2) + (y - (y0 + y1) / 2) * (y - (y0 + y1) / 2)) AS dist FROM pts p, box b)"""
 
 
 def boxes(spark, sf):
-    b = A.bounds(points(spark, sf).filter("id % 7 = 0 AND label < 5"))
-    return b.withColumn("ord", F.row_number().over(Window.orderBy("sample")))
+    """A box per sample: a deviation each way around the mean of its points."""
+    sides = [(F.avg(c) + sign * F.stddev_pop(c)).alias(f"{c}_{side}") for c in "xy" for side, sign in (("min", -1), ("max", 1))]
+    return points(spark, sf).groupBy("sample").agg(*sides).withColumn("ord", F.row_number().over(Window.orderBy("sample")))
 
 
 @query(f"""WITH {BOXES}, i AS (SELECT id, max_by(sample, ord) AS s FROM pb WHERE inside GROUP BY id), c AS (SELECT id, sample AS s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, ord) AS rn FROM pb) WHERE rn = 1)
