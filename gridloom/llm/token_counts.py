@@ -7,8 +7,9 @@ its pre-tokens. Three steps, all distributed:
 1. the pre-tokens of the corpus with their frequencies, summed over tasks, and the pieces of each,
    counted once per distinct pre-token;
 2. each document's pre-token frequencies, joined in the worker to the counts of the HEAD most
-   frequent pre-tokens, which are broadcast (so many at most), with the rest left as rows;
-3. these rows, none of a frequent key, joined to the counts by shuffle and summed per document.
+   frequent pre-tokens of at most SHORT characters, which are broadcast, with the rest left as rows;
+3. these rows, of rare or long keys, joined to the counts by shuffle and summed per document; adaptive
+   execution splits a long key that many documents share.
 
 Ids are never kept: of a pre-token only the number of its pieces leaves the tokenizer.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import pick, small_batches, stage, table
 
-HEAD, FLUSH, LIMIT = 1 << 17, 100_000, 4096
+HEAD, SHORT, FLUSH, LIMIT = 1 << 17, 64, 100_000, 4096
 SPACE = "▁"  # the mark that stands for a space in pieces
 
 
@@ -136,7 +137,8 @@ def token_counts(docs: DataFrame, path: str, head_size: int = HEAD) -> DataFrame
     """doc_id, n_bytes, n_tokens per row of docs."""
     spark = docs.sparkSession
     words = dictionary(docs, path)
-    top = words.filter(F.col("n") >= _least_frequency(words, head_size)).select("pretoken", "pieces").toArrow()
+    short = words.filter(F.length("pretoken") <= SHORT)  # so that the broadcast is bounded in bytes too
+    top = short.filter(F.col("n") >= _least_frequency(short, head_size)).select("pretoken", "pieces").toArrow()
     head = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     rows = pick(docs, "doc_id", "text").select("_row", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
