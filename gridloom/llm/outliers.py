@@ -41,11 +41,13 @@ WINDOW = 5
 def repeat_words(w: Column, width: int = WINDOW) -> Column:
     """Words of w that lie in a window of `width` words found twice or more in w."""
     n = F.size(w) - (width - 1)
-    hashes = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])))
+    # Each word is hashed once, then each window of hashes.
+    hashes = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.when(
+        n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))))
 
     def covered(h: Column) -> Column:
-        ranked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        twice = let(ranked, lambda s: F.array_sort(F.transform(
+        ranked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        twice = let(ranked, lambda s: F.sort_array(F.transform(
             F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]).eqNullSafe(True) | (x["h"] == F.get(s, i + 1)["h"]).eqNullSafe(True)),
             lambda x: x["i"])))
         return let(twice, lambda p: F.aggregate(
@@ -125,37 +127,44 @@ def _names(d: int) -> list[str]:
     return [*(f"m{i}" for i in range(d)), *(f"w{i}{j}" for i in range(d) for j in range(i + 1))]
 
 
-def _inverse_root(out: DataFrame, d: int, cov, least: list[float]) -> DataFrame:
-    """Adds w_ij, the inverse of the Cholesky factor of cov(i, j), and logdet; least are the least deviations."""
+def _inverse_root(out: DataFrame, d: int, cov, least: list[float], by: str | None = None) -> DataFrame:
+    """Adds w_ij, the inverse of the Cholesky factor of cov(i, j), and logdet; least are the least deviations.
+
+    cov gives SQL, as all is here: one projection whose columns build on one another. With `by`, the
+    coordinates are divided by the columns of that name.
+    """
+    cols = []
     for i in range(d):
         for j in range(i + 1):
-            rest = cov(i, j) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(least[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
+            rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            cols.append(f"sqrt(greatest({cov(i, j)}{rest}, {least[i] ** 2 / 4}D)) AS l{i}{i}" if i == j else f"({cov(i, j)}{rest}) / l{j}{j} AS l{i}{j}")
     for j in range(d):
         for i in range(j, d):
-            w = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
-            out = out.withColumn(f"w{i}{j}", w / F.col(f"l{i}{i}"))
-    return out.withColumn("logdet", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(d)), F.lit(0.0)))
+            sums = " + ".join(f"l{i}{k} * v{k}{j}" for k in range(j, i))
+            cols.append(f"1D / l{i}{i} AS v{i}{i}" if i == j else f"-({sums}) / l{i}{i} AS v{i}{j}")
+    cols += [f"v{i}{j}{f' / {by}{j}' if by else ''} AS w{i}{j}" for i in range(d) for j in range(i + 1)]
+    cols.append(" + ".join(f"2 * ln(l{i}{i})" for i in range(d)) + " AS logdet")
+    return out.selectExpr("*", *cols)
 
 
 def _distance(xs: list[str]) -> Column:
-    z = [sum((F.col(f"w{i}{j}") * (F.col(xs[j]) - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(len(xs))]
-    return sum((v * v for v in z), F.lit(0.0))
+    rows = [" + ".join(f"w{i}{j} * (`{xs[j]}` - m{j})" for j in range(i + 1)) for i in range(len(xs))]
+    return F.expr(" + ".join(f"({r}) * ({r})" for r in rows))
 
 
-def _covariance(n: str, s: str, q: str, floors: list[float]):
-    """cov(i, j) from columns of a count, sums and sums of products, with a floor on the diagonal."""
+def _covariance(s: str, q: str, floors: list[float]):
+    """cov(i, j) from the columns n, sums and sums of products, with a floor on the diagonal."""
 
-    def cov(i: int, j: int) -> Column:
-        plain = F.col(f"{q}{i}{j}") / F.col(n) - F.col(f"{s}{i}") / F.col(n) * F.col(f"{s}{j}") / F.col(n)
-        return F.greatest(plain, F.lit(0.0)) + F.lit(floors[i] ** 2) if i == j else plain
+    def cov(i: int, j: int) -> str:
+        plain = f"{q}{i}{j} / n - {s}{i} / n * {s}{j} / n"
+        return f"greatest({plain}, 0D) + {floors[i] ** 2}D" if i == j else plain
 
     return cov
 
 
-def _sums(cols: list[Column], s: str, q: str) -> list[Column]:
+def _sums(cols: list[str], s: str, q: str) -> list[Column]:
     d = len(cols)
-    return [*(F.sum(c).alias(f"{s}{i}") for i, c in enumerate(cols)), *(F.sum(cols[i] * cols[j]).alias(f"{q}{i}{j}") for i in range(d) for j in range(i + 1))]
+    return [*(F.expr(f"sum({c}) AS {s}{i}") for i, c in enumerate(cols)), *(F.expr(f"sum({cols[i]} * {cols[j]}) AS {q}{i}{j}") for i in range(d) for j in range(i + 1))]
 
 
 def starts(rows: DataFrame, xs: list[str], floors: list[float], hint) -> DataFrame:
@@ -170,14 +179,15 @@ def starts(rows: DataFrame, xs: list[str], floors: list[float], hint) -> DataFra
         *[F.max(F.when(F.col("i") == i, F.greatest(F.col("dev") * 1.4826, F.lit(floors[i])))).alias(f"a{i}") for i in range(d)],
     )
     wide = stage(wide, "deviations")
-    z = rows.join(hint(wide), "g").select("g", *[((F.col(x) - F.col(f"m{i}")) / F.col(f"a{i}")).alias(f"z{i}") for i, x in enumerate(xs)])
-    z = z.withColumn("r", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(d)), F.lit(1e-12))))
-    turned, squashed = [F.col(f"z{i}") / F.col("r") for i in range(d)], [F.tanh(F.col(f"z{i}")) for i in range(d)]
+    z = rows.join(hint(wide), "g").selectExpr("g", *[f"(`{x}` - m{i}) / a{i} AS z{i}" for i, x in enumerate(xs)])
+    z = z.selectExpr("*", "sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(d)) + " + 1e-12D) AS r")
+    z = z.selectExpr("g", *[f"z{i} / r AS z{i}" for i in range(d)], *[f"tanh(z{i}) AS t{i}" for i in range(d)])
+    turned, squashed = [f"z{i}" for i in range(d)], [f"t{i}" for i in range(d)]
     sums = stage(z.groupBy("g").agg(F.count("*").alias("n"), *_sums(turned, "s", "q"), *_sums(squashed, "t", "p")).join(wide, "g"), "moments")
     found, ones = [], [0.05] * d
-    for k, cov in enumerate((lambda i, j: F.lit(float(i == j)), lambda i, j: F.col(f"q{i}{j}") / F.col("n") + F.lit(0.0025 * (i == j)), _covariance("n", "t", "p", ones))):
-        scaled = _inverse_root(sums, d, cov, ones).withColumns({f"w{i}{j}": F.col(f"w{i}{j}") / F.col(f"a{j}") for i in range(d) for j in range(i + 1)})
-        found.append(scaled.select("g", F.lit(k).alias("start"), *_names(d)))
+    shapes = (lambda i, j: f"{float(i == j)}D", lambda i, j: f"q{i}{j} / n + {0.0025 * (i == j)}D", _covariance("t", "p", ones))
+    for k, cov in enumerate(shapes):
+        found.append(_inverse_root(sums, d, cov, ones, "a").select("g", F.lit(k).alias("start"), *_names(d)))
     return stage(found[0].unionByName(found[1]).unionByName(found[2]), "starts")
 
 
@@ -187,8 +197,8 @@ def concentrated(rows: DataFrame, fit: DataFrame, xs: list[str], floors: list[fl
     far = rows.join(hint(fit), "g").select(*key, _distance(xs).alias("d"))
     limit = stage(fit.drop("logdet").join(quantile(far, key, "d", _octave("d"), nearest, "limit"), key), "limits")
     near = rows.join(hint(limit), "g").filter(_distance(xs) <= F.col("limit"))
-    sums = near.groupBy(*key).agg(F.count("*").alias("n"), *_sums([F.col(x) for x in xs], "s", "q"))
-    out = _inverse_root(sums, d, _covariance("n", "s", "q", floors), floors).withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(d)})
+    sums = near.groupBy(*key).agg(F.count("*").alias("n"), *_sums([f"`{x}`" for x in xs], "s", "q"))
+    out = _inverse_root(sums, d, _covariance("s", "q", floors), floors).selectExpr("*", *[f"s{i} / n AS m{i}" for i in range(d)])
     return stage(out.select(*key, *_names(d), "logdet"), "fit")
 
 
