@@ -1,4 +1,4 @@
-"""Spatial joins. Points have x, y, an id and usually a sample; joins are equi-joins on grid cells.
+"""Spatial joins. Points have x, y, an id and usually a sample; joins are equi-joins on grid cells, but for nearest().
 
 The right side, which should be the smaller, is copied to the nine cells around each of its points, so that a join on the cell
 (and the sample) finds every pair within a cell's width; the distance is the residual condition.
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import distance
+from gridloom.operators.nearest import nearest
 from gridloom.session import small, written
 
 
@@ -41,21 +42,6 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, on: list[str]
     return grid_pairs(left, right, radius, on or []).filter(F.col("dist") <= radius)
 
 
-def nearest(left: DataFrame, right: DataFrame, max_distance: float, on: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """Each left point's nearest right point within max_distance (below it, if strict); of equally near ones the lowest id.
-
-    Left points without one are left out. The pick is an aggregate, so only the best pair per point
-    and task is shuffled.
-    """
-    on = on or []
-    near = grid_pairs(left, right, max_distance, on)
-    near = near.filter(F.col("dist") < max_distance if strict else F.col("dist") <= max_distance)
-    l_cols, r_cols = ([c for c in near.columns if c.startswith(p) and c != f"{p}id"] for p in ("l_", "r_"))
-    best = near.groupBy("l_id").agg(
-        F.min(F.struct("dist", "r_id", *r_cols)).alias("_best"), *[F.first(c).alias(c) for c in [*on, *l_cols]])
-    return best.select(*on, "l_id", *l_cols, "_best.*")
-
-
 def nearest_or_fail(left: DataFrame, right: DataFrame, max_distance: float, on: list[str]) -> DataFrame:
     """nearest(), which must not be empty."""
     found = nearest(left, right, max_distance, on)

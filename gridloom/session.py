@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,24 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+_open = threading.local()
+
+
+@contextmanager
+def cleared(spark: SparkSession):
+    """Tables that this thread writes to scratch() paths within are deleted at the end."""
+    made: list[str] = []
+    outer = getattr(_open, "made", ())
+    _open.made = (*outer, made)
+    try:
+        yield
+    finally:
+        _open.made = outer
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir.
 
@@ -48,7 +68,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         else:
             named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in getattr(_open, "made", ()):
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -13,13 +13,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.operators.clustering import ClusterModel
 from gridloom.operators.joins import nearest
+from gridloom.session import cleared
 
 
 def each_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Starts a query that writes operator(batch) to path/batch=<number>."""
 
     def write(batch: DataFrame, number: int) -> None:
-        operator(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with cleared(batch.sparkSession):
+            operator(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import joins as J
+from gridloom.session import cleared, scratch
 
 
 def points(spark, rows, extra=""):
@@ -152,3 +155,38 @@ def test_delaunay_refuses_a_sample_that_is_too_large(spark, monkeypatch):
     monkeypatch.setattr(J, "DELAUNAY_MOST", 20)
     with pytest.raises(ValueError):
         J.delaunay_edges(cloud(spark, 60, 23)[1])
+
+
+def test_nearest_makes_no_pairs_of_crowds(spark):
+    """All lie within the distance of each other: by brute force on some, and nothing written or made is quadratic."""
+    r = np.random.default_rng(31)
+    p = np.round(np.concatenate([r.normal(0, 5, (6000, 2)), r.normal(30, 1e-4, (3000, 2)), np.full((3000, 2), 7.0)]), 6)
+    q = np.round(p[::-1] * 0.97 + 1, 6)
+    left, right = (points(spark, [(i, float(x), float(y)) for i, (x, y) in enumerate(c)]) for c in (p, q))
+    df = J.nearest(left, right, 80.0)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r["l_id"]: (r["dist"], r["r_id"]) for r in df.collect()}
+    assert len(got) == len(p)
+    for i in range(0, len(p), 40):
+        d = np.sqrt((p[i, 0] - q[:, 0]) * (p[i, 0] - q[:, 0]) + (p[i, 1] - q[:, 1]) * (p[i, 1] - q[:, 1]))
+        assert got[i] == (d.min(), int(np.argmin(d))), i
+
+
+def test_nearest_leaves_out_what_has_no_place(spark):
+    rows = [(0, None, 1.0, "s"), (1, float("nan"), 1.0, "s"), (2, float("inf"), 1.0, "s"), (3, 1.0, 1.0, None), (4, 1.0, 1.0, "s"), (5, 1.0, 1.0, "t")]
+    a, b = points(spark, rows, ", sample string"), points(spark, [*rows[:5], (6, 1.0, 1.0, "s")], ", sample string")
+    assert [tuple(r) for r in J.nearest(a, b, 5.0, ["sample"]).select("l_id", "r_id", "dist").collect()] == [(4, 4, 0.0)]
+    assert {r["l_id"] for r in J.nearest(a, b.filter("id < 0"), 5.0, ["sample"]).collect()} == set()
+    assert {r["l_id"]: r["r_id"] for r in J.nearest(a, b, 5.0).drop("l_sample", "r_sample").collect()} == {3: 3, 4: 3, 5: 3}
+
+
+def test_nearest_keeps_its_result_only(spark):
+    place = Path(scratch(spark, "none").removeprefix("file:")).parent
+    held = lambda: set(place.iterdir()) if place.exists() else set()
+    _, df = cloud(spark, 60, 24)
+    before = held()
+    assert J.nearest(df, df, 5.0, ["sample"]).count() == 60
+    assert [p.name.split("-")[0] for p in held() - before] == ["nearest"]
+    with cleared(spark):
+        J.nearest(df, df, 5.0).count()
+    assert len(held() - before) == 1
