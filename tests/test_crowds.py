@@ -33,3 +33,7 @@ def against_sql(spark, crowd, name):
 
 def test_distance_histogram(spark, crowd):
     against_sql(spark, crowd, "distance_histogram")
+
+
+def test_success_by_distance(spark, crowd):
+    against_sql(spark, crowd, "success_by_distance")
