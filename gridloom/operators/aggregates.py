@@ -6,16 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import distance, doubles
+from gridloom.session import small, written
 
 METHODS = {"mean": F.avg, "median": F.median, "max": F.max}
 
 
-def vector_aggregate(df: DataFrame, by: list[str], v: str, method: str = "mean", out: str = "agg") -> DataFrame:
-    """by, out: the elementwise mean, median or maximum of the vectors of each group."""
+#: Rows of a group up to which its vectors are aggregated whole, in one row.
+WHOLE = 1 << 14
+
+
+def _middle(x: Column) -> Column:
+    """Median of an array of doubles."""
+    n = F.size(x)
+    low, high = F.get(x, F.floor((n - 1) / 2).cast("int")), F.get(x, F.floor(n / 2).cast("int"))
+    return F.when(low == high, low).otherwise(low * 0.5 + high * 0.5)
+
+
+#: Of the values of a dimension, an array of doubles without nulls.
+WHOLES = {
+    "mean": lambda x: F.aggregate(x, F.lit(0.0), lambda a, e: a + e) / F.nullif(F.size(x), F.lit(0)),
+    "median": lambda x: F.get(F.transform(F.array(F.sort_array(x)), _middle), F.lit(0)),
+    "max": F.array_max,
+}
+
+
+def vector_aggregate(df: DataFrame, by: list[str], v: str, method: str = "mean", out: str = "agg", rows: DataFrame | None = None) -> DataFrame:
+    """by, out: the elementwise mean, median or maximum of the vectors of each group.
+
+    The vectors of a group travel as they are; only those of groups of more than WHOLE rows are dealt out by dimension, as
+    partial aggregates. rows: by and the n rows of each group, where that is known.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}; there are {', '.join(METHODS)}")
-    dims = df.select(*by, F.posexplode(doubles(F.col(v)))).groupBy(*by, "pos").agg(METHODS[method]("col").alias("_v"))
-    return dims.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_v"))), lambda s: s["_v"]).alias(out))
+    rows = df.groupBy(*by).agg(F.count("*").alias("n")) if rows is None else rows
+    large = written(rows.filter(F.col("n") > WHOLE).select(*by), "large")
+    some = not large.isEmpty()
+    few = df.join(small(large), by, "left_anti") if some else df
+    width, values = F.array_max(F.transform("_vs", F.size)), lambda i: F.array_compact(F.transform("_vs", lambda a: F.get(a, i).cast("double")))
+    whole = few.groupBy(*by).agg(F.collect_list(v).alias("_vs")).withColumn("_w", width).filter("_w > 0")
+    whole = whole.select(*by, F.transform(F.sequence(F.lit(1), "_w"), lambda i: WHOLES[method](values(i - 1))).alias(out))
+    if not some:
+        return whole
+    dims = df.join(small(large), by, "left_semi").select(*by, F.posexplode(doubles(F.col(v)))).groupBy(*by, "pos").agg(METHODS[method]("col").alias("_v"))
+    return whole.unionByName(dims.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_v"))), lambda s: s["_v"]).alias(out)))
 
 
 def spot_features(assigned: DataFrame, features: DataFrame, method: str = "mean", least: int = 1, meta: tuple[str, ...] = ()) -> DataFrame:
@@ -24,11 +57,13 @@ def spot_features(assigned: DataFrame, features: DataFrame, method: str = "mean"
     assigned: nucleus_id, spot_id, dist, meta; features: nucleus_id, v. Spots with fewer than
     `least` nuclei are left out.
     """
-    joined = assigned.join(features.select("nucleus_id", "v"), "nucleus_id")
     first = F.min_by(F.struct("nucleus_id", *meta), "nucleus_id")
     sizes = assigned.groupBy("spot_id").agg(F.count("*").alias("n_nuclei"), F.avg("dist").alias("mean_distance"), first.alias("_first"))
     sizes = sizes.filter(F.col("n_nuclei") >= least).select("spot_id", "n_nuclei", "mean_distance", *[F.col(f"_first.{m}").alias(m) for m in meta])
-    return sizes.join(vector_aggregate(joined, ["spot_id"], "v", method), "spot_id")
+    sizes = written(sizes, "sizes")
+    kept = assigned.select("nucleus_id", "spot_id").join(sizes, "spot_id", "left_semi")
+    joined = kept.join(features.select("nucleus_id", "v"), "nucleus_id")
+    return sizes.join(vector_aggregate(joined, ["spot_id"], "v", method, rows=sizes.select("spot_id", F.col("n_nuclei").alias("n"))), "spot_id")
 
 
 def bounds(points: DataFrame, by: str = "sample") -> DataFrame:

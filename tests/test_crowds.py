@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from test_queries import same
 
+from gridloom.operators import aggregates as A
 from gridloom.plans import catalog
 
 
@@ -37,3 +38,10 @@ def test_distance_histogram(spark, crowd):
 
 def test_success_by_distance(spark, crowd):
     against_sql(spark, crowd, "success_by_distance")
+
+
+@pytest.mark.parametrize("name", ["spot_mean"])
+def test_spot_features(spark, crowd, name, monkeypatch):
+    against_sql(spark, crowd, name)
+    monkeypatch.setattr(A, "WHOLE", 5)
+    against_sql(spark, crowd, name)

@@ -163,3 +163,23 @@ def test_ranking(spark):
     bands = {r["criterion"]: r["band"] for r in R.recommendations(df).collect()}
     assert bands["border"] == bands["coherence"] == bands["silhouette"] == "excellent"
     assert R.strategy(df).filter("best").first()["strategy"] == "multi_scale"
+
+
+@pytest.mark.parametrize("method", ["mean"])
+def test_vector_aggregate_whole_and_by_dimension(spark, monkeypatch, method):
+    nan = float("nan")
+    rows = [(k, [float((k * 7 + i * 3 + d) % 11) for d in range(5)]) for k in range(4) for i in range(k + 2)]
+    rows += [(7, [1.0, None, nan]), (7, [2.0]), (7, None), (7, [4.0, None, 1.0, 5.0]), (8, []), (8, None), (9, [float("inf")]), (9, [float("inf")]), (None, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "g int, v array<float>")
+    want = df.select("g", F.posexplode("v")).groupBy("g", "pos").agg(A.METHODS[method](F.col("col").cast("double")).alias("x")).collect()
+    want = {(r["g"], r["pos"]): repr(r["x"]) for r in want}
+    for whole in (100, 3, 0):
+        monkeypatch.setattr(A, "WHOLE", whole)
+        got = A.vector_aggregate(df, ["g"], "v", method).collect()
+        assert {(r["g"], i): repr(x) for r in got for i, x in enumerate(r["agg"])} == want, whole
+
+
+def test_vectors_travel_whole(spark):
+    df = spark.range(100).select((F.col("id") % 30).alias("g"), F.array(*[F.col("id").cast("float") + d for d in range(64)]).alias("v"))
+    plan = A.vector_aggregate(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
