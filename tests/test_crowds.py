@@ -40,7 +40,7 @@ def test_success_by_distance(spark, crowd):
     against_sql(spark, crowd, "success_by_distance")
 
 
-@pytest.mark.parametrize("name", ["spot_mean", "spot_max"])
+@pytest.mark.parametrize("name", ["spot_mean", "spot_max", "spot_median"])
 def test_spot_features(spark, crowd, name, monkeypatch):
     against_sql(spark, crowd, name)
     monkeypatch.setattr(A, "WHOLE", 5)

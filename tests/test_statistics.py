@@ -165,7 +165,7 @@ def test_ranking(spark):
     assert R.strategy(df).filter("best").first()["strategy"] == "multi_scale"
 
 
-@pytest.mark.parametrize("method", ["mean", "max"])
+@pytest.mark.parametrize("method", ["mean", "max", "median"])
 def test_vector_aggregate_whole_and_by_dimension(spark, monkeypatch, method):
     nan = float("nan")
     rows = [(k, [float((k * 7 + i * 3 + d) % 11) for d in range(5)]) for k in range(4) for i in range(k + 2)]
